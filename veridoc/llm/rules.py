@@ -1,8 +1,8 @@
 """Quality rules by weak supervision (native).
 
 Each rule votes good, bad or abstains on a document. A latent-class model gives every rule, for good and for bad
-documents apart, the probabilities of its three outcomes; expectation-maximisation estimates them without labels, and
-the posterior probability of "good" replaces all-must-pass filtering.
+documents apart, its share of bad votes, so its accuracies; expectation-maximisation estimates them without labels, and
+the posterior probability of "good" replaces all-must-pass filtering. An abstention says nothing.
 
 The model sees documents only through their vote patterns. There are at most 3 ** len(RULES) of those whatever the
 corpus, so one aggregation over all documents leaves a table with a proven bound; EM runs over it as one SQL expression.
@@ -26,16 +26,16 @@ GOOD, ABSTAIN, BAD = 2, 1, 0
 #: name: (measure, bad if over, good if under); between the two, and where the measure is null, the rule abstains.
 RULES = {
     "symbols": ("n_symbols / n_words", 0.3, 0.05),
-    "repeats": ("n_repeat_words / n_words", 0.3, 0.05),
-    "lines": ("n_dup_lines / n_lines", 0.3, 0.05),
+    "repeats": ("n_repeat_words / n_words", 0.5, 0.05),
+    "lines": ("n_dup_lines / n_lines", 0.6, 0.05),
     "capitals": ("n_upper / word_chars", 0.5, 0.2),
     "shouts": ("n_shouts / n_words", 0.3, 0.05),
-    "long_words": ("word_chars / n_words", 20.0, 12.0),
-    "short_words": ("n_words / word_chars", 0.6, 0.4),
     "variety": ("1 - n_distinct / n_words", 0.9, 0.75),
 }
 ROUNDS = 15
-SMOOTH = 1.0
+#: A document is as likely good as bad before its votes are seen. Prior belief in the share of bad among a rule's votes, on good and on bad documents: rules beat chance. It weighs as
+#: much as PRIOR votes per document of the class, plus one, and pins the two classes to their names.
+BAD_ON_GOOD, BAD_ON_BAD, PRIOR = 0.01, 0.5, 0.2
 KEEP_AT = 0.5
 #: Before the first round, a document with a bad vote is good with this probability, any other with one minus it.
 START = 0.1
@@ -122,17 +122,18 @@ def label_model(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             all_b = F.aggregate(z, double(0), lambda a, x: a + x["b"])
 
             def cell(k: Column) -> Column:
-                hit = lambda x: F.get(x["v"], F.floor(k / 3).cast("int")) == k % 3
-                g = F.aggregate(z, double(0), lambda a, x: a + F.when(hit(x), x["g"]).otherwise(0.0))
-                b = F.aggregate(z, double(0), lambda a, x: a + F.when(hit(x), x["b"]).otherwise(0.0))
-                return F.log((g + SMOOTH) / (all_g + 3 * SMOOTH)) - F.log((b + SMOOTH) / (all_b + 3 * SMOOTH))
+                vote = lambda x: F.get(x["v"], F.floor(k / 3).cast("int"))
+                sum_of = lambda c, test: F.aggregate(z, double(0), lambda a, x: a + F.when(test(vote(x)), x[c]).otherwise(0.0))
+                believed = lambda bad: F.when(k % 3 == BAD, bad).otherwise(1 - bad)
+                share = lambda c, n, bad: (sum_of(c, lambda v: v == k % 3) + (n * PRIOR + 1) * believed(bad)) / (sum_of(c, lambda v: v != ABSTAIN) + n * PRIOR + 1)
+                odds = F.log(share("g", all_g, BAD_ON_GOOD)) - F.log(share("b", all_b, BAD_ON_BAD))
+                return F.when(k % 3 == ABSTAIN, 0.0).otherwise(odds)
 
-            prior = F.log((all_g + SMOOTH) / (all_b + SMOOTH))
-            return F.struct(prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(3 * n - 1)), cell).alias("odds"))
+            return F.transform(F.sequence(F.lit(0), F.lit(3 * n - 1)), cell)
 
         def score(m: Column) -> Column:
             def odds(x: Column) -> Column:
-                return F.aggregate(F.transform(x["v"], lambda v, j: F.get(m["odds"], j * 3 + v)), m["prior"], lambda a, o: a + o)
+                return F.aggregate(F.transform(x["v"], lambda v, j: F.get(m, j * 3 + v)), double(0), lambda a, o: a + o)
 
             return F.transform(p, lambda x: 1.0 / (1.0 + F.exp(-odds(x))))
 
@@ -199,11 +200,14 @@ def _sql() -> str:
         f"q0 AS MATERIALIZED (SELECT code, CASE WHEN {any_bad} THEN {START} ELSE {1 - START} END AS q FROM pat)",
     ]
     for k in range(1, ROUNDS + 1):
+        believed = lambda bad: f"CASE WHEN v = {BAD} THEN {bad} ELSE {1 - bad} END"
         ctes += [
-            f"""m{k} AS MATERIALIZED (SELECT j, v, ln((coalesce(g, 0) + {SMOOTH}) / (tg + {3 * SMOOTH})) - ln((coalesce(b, 0) + {SMOOTH}) / (tb + {3 * SMOOTH})) AS o, ln((tg + {SMOOTH}) / (tb + {SMOOTH})) AS prior
+            f"""m{k} AS MATERIALIZED (SELECT j, v, CASE WHEN v = {ABSTAIN} THEN 0 ELSE
+                ln((coalesce(g, 0) + (tg * {PRIOR} + 1) * {believed(BAD_ON_GOOD)}) / (coalesce(sum(g) FILTER (v <> {ABSTAIN}) OVER (PARTITION BY j), 0) + tg * {PRIOR} + 1))
+                - ln((coalesce(b, 0) + (tb * {PRIOR} + 1) * {believed(BAD_ON_BAD)}) / (coalesce(sum(b) FILTER (v <> {ABSTAIN}) OVER (PARTITION BY j), 0) + tb * {PRIOR} + 1)) END AS o
               FROM cell LEFT JOIN (SELECT j, v, sum(n * q) AS g, sum(n * (1 - q)) AS b FROM dig JOIN q{k - 1} USING (code) GROUP BY j, v) USING (j, v),
               (SELECT sum(n * q) AS tg, sum(n * (1 - q)) AS tb FROM pat JOIN q{k - 1} USING (code)))""",
-            f"q{k} AS MATERIALIZED (SELECT code, 1 / (1 + exp(-(any_value(prior) + sum(o)))) AS q FROM dig JOIN m{k} USING (j, v) GROUP BY code)",
+            f"q{k} AS MATERIALIZED (SELECT code, 1 / (1 + exp(-sum(o))) AS q FROM dig JOIN m{k} USING (j, v) GROUP BY code)",
         ]
     return "WITH " + ",\n".join(ctes) + f"""
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= {KEEP_AT} AS kept FROM v JOIN q{ROUNDS} USING (code)"""
