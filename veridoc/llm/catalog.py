@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veridoc.llm import bpe, chat, mixing, ring, rules, urls
+from veridoc.llm import bpe, chat, mixing, ring, rules, urls, warc
 
 QUERIES = {
     "op2_hierarchical_mix": mixing.op2_hierarchical_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_warc_revisits": warc.op4_warc_revisits,
     "op6_temporal_url_filter": urls.op6_temporal_url_filter,
     "op7_ring_bounded_load": ring.op7_ring_bounded_load,
     "op8_quality_rules": rules.op8_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_hierarchical_mix": mixing.SQL,
+    "op4_warc_revisits": warc.SQL,
     "op6_temporal_url_filter": urls.SQL,
     "op8_quality_rules": rules.SQL,
     "op9_chat_prefix_target": chat.SQL,
