@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridoc.llm import bpe, chat, mixing, ring, rules, urls, warc
+from veridoc.llm import bpe, chat, minhash, mixing, ring, rules, urls, warc
 
 QUERIES = {
     "op2_hierarchical_mix": mixing.op2_hierarchical_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_ring_bounded_load": ring.op7_ring_bounded_load,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_chat_prefix_target": chat.op9_chat_prefix_target,
+    "op10_prob_minhash": minhash.op10_prob_minhash,
 }
 ORACLE = {
     "op2_hierarchical_mix": mixing.SQL,
