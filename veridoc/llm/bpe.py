@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.shared import table
+from veridoc.llm.shared import map_arrow, table
 
 CACHE = 200_000  # pieces
 CACHED_LENGTH = 48  # bytes; longer pieces are rarely seen again
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 columns += [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in own])
 
-    return source.mapInArrow(run, T.StructType(kept + own))
+    return map_arrow(source, run, T.StructType(kept + own))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

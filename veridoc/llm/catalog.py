@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from veridoc.llm import bpe, chat, minhash, mixing, ring, rules, urls, warc
+from veridoc.llm import bpe, chat, gam, minhash, mixing, qalsh, ring, rules, urls, warc
 
 QUERIES = {
+    "op1_gam_quality": gam.op1_gam_quality,
     "op2_hierarchical_mix": mixing.op2_hierarchical_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_warc_revisits": warc.op4_warc_revisits,
+    "op5_collision_counting_ann": qalsh.op5_collision_counting_ann,
     "op6_temporal_url_filter": urls.op6_temporal_url_filter,
     "op7_ring_bounded_load": ring.op7_ring_bounded_load,
     "op8_quality_rules": rules.op8_quality_rules,

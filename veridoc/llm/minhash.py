@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.shared import table, written
+from veridoc.llm.shared import map_arrow, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -175,7 +175,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     bands[k] = row
             yield pa.RecordBatch.from_arrays([ids, text_hash, pa.array([node_of(x) for x in hashes], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node binary, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node binary, bands array<long>")
 
 
 def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.binary()), ("hashes", pa.binary()), ("weights", pa.binary())]))
 
     # a document that stands in the table more than once comes more than once
-    return rows.select("text").mapInArrow(run, "node binary, hashes binary, weights binary").dropDuplicates(["node"])
+    return map_arrow(rows.select("text"), run, "node binary, hashes binary, weights binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
                 keep.append(similarity((ha, wa), (hb, wb)) >= threshold - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.shared import fresh_path, table, written
+from veridoc.llm.shared import fresh_path, map_arrow, table, written
 
 #: Date of all records, as a crawl's own date is not in the input; a parameter.
 DATE = "2024-01-01T00:00:00Z"
@@ -115,7 +115,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             store.move(name + ".open", name)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "records": [n], "bytes": [size]})
 
-    return written(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    return written(map_arrow(rows, run, MANIFEST), "warc-manifest")
 
 
 class _Members:
@@ -183,7 +183,7 @@ def read_archives(manifest: DataFrame, columns: list[str] | None = None) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").repartition(n).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return map_arrow(manifest.select("path").repartition(n), run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
