@@ -113,9 +113,10 @@ def assign(rows: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     ).select("x.*")
     arcs = written(arcs, "ring-arcs")  # shards * vnodes + 1 rows
     runs = walk(arcs, shards).agg(F.sort_array(F.collect_list(F.struct("run_end", "run_start", "shard", "slot_start"))).alias("_runs"))
+    runs = runs.withColumn("_ends", F.transform("_runs", lambda r: r["run_end"]))
     known = numbered.join(F.broadcast(arcs.select(F.col("arc").alias("_arc"), "before")), "_arc").join(F.broadcast(runs))
     number = F.col("before") + F.col("_k")
-    run = F.get("_runs", arc_of(number + 1, F.col("_runs.run_end")))
+    run = F.get("_runs", arc_of(number + 1, F.col("_ends")))
     found = known.select("doc_id", "size", "text_crc32", number.alias("_number"), run.alias("_run"))
     return found.select("doc_id", "size", "text_crc32", F.col("_run.shard").alias("shard"), (F.col("_number") - F.col("_run.run_start") + F.col("_run.slot_start")).alias("slot"))
 
