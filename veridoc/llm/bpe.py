@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 columns = [batch.column(x) for x in names]
                 if keep_ids:
                     sizes = pa.array([0, *n], pa.int64())
-                    offsets = pa.compute.cumulative_sum(sizes).cast(pa.int32())
+                    offsets = pc.cumulative_sum(sizes).cast(pa.int32())
                     columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids_of) if ids_of else pa.array([], pa.int32())))
                 columns += [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in own])

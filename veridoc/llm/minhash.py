@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _texts(batches: Iterator[pa.RecordBatch], columns: list[str], text: str) -> Iterator[tuple[list, list[str]]]:
     """Rows in portions of BATCH texts or CHARS characters: the other columns' values, and the texts."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(text)), 0).to_pylist()
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
         start, total = 0, 0
         for k, size in enumerate([*sizes, None]):
             total += size or 0
