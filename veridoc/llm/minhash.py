@@ -17,7 +17,7 @@ against the nodes of other components and then forgets the pivot; buckets whose
 few buckets are left after PIVOTS rounds test all pairs that are in different components still. No pair of a bucket is
 left out: it was tested, or its nodes were connected already.
 
-Words are runs of letters and digits in lower case. Texts are shuffled only for nodes that share a bucket.
+Words are runs of characters other than ASCII white space. Texts are shuffled only for nodes that share a bucket.
 
 Defined cases: texts of fewer than five words have one shingle of all their words; texts without words (null, empty) are
 copies of each other; a null doc_id is a document as any other, and a class's id is the smallest that is not null;
@@ -48,7 +48,7 @@ CHARS = 1 << 20  # or as many characters
 WORD_CACHE = 500_000
 
 _U = np.uint64
-_word = re.compile(r"\w+").findall
+_word = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 class _Hashes(dict):
@@ -68,7 +68,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word((text or "").lower())
+    return _word(text or "")
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
