@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from veridoc.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLE: dict[str, str] = {**text_queries.ORACLE}
