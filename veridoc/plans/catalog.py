@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veridoc.plans import text_queries
+from veridoc.plans import layout_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLE: dict[str, str] = {**text_queries.ORACLE}
+QUERIES: dict = {**text_queries.QUERIES, **layout_queries.QUERIES}
+ORACLE: dict[str, str] = {**text_queries.ORACLE, **layout_queries.ORACLE}
