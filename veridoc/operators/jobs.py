@@ -1,0 +1,52 @@
+"""Jobs as an event log: latest state, expiry, what a viewer shows, crop and page-range arithmetic, stable snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Seconds that a finished job is kept; snapshots until a page counts as stable anyway; least crop in pixels.
+KEEP_SECONDS, MOST_SNAPSHOTS, LEAST_CROP = 3600, 10, 50
+TERMINAL = ("COMPLETE", "FAILED")
+
+
+def latest(events: DataFrame) -> DataFrame:
+    """job_id with its last event by (ts, event_id): ts, status, progress, and how many events it had."""
+    last = F.max_by(F.struct("ts", "status", "progress"), F.struct("ts", "event_id"))
+    return events.groupBy("job_id").agg(last.alias("s"), F.count(F.lit(1)).alias("events")).select("job_id", "s.*", "events")
+
+
+def with_expiry(states: DataFrame, now: Column) -> DataFrame:
+    """states with expires_at, of finished jobs only, and whether that is past."""
+    at = F.when(F.col("status").isin(*TERMINAL), F.col("ts") + F.expr(f"INTERVAL {KEEP_SECONDS} SECONDS"))
+    return states.withColumn("expires_at", at).withColumn("expired", F.coalesce(at <= now, F.lit(False)))
+
+
+def view_state(status: Column, has_results: Column) -> Column:
+    """What a viewer shows for a job."""
+    return F.when(has_results & status.isin(*TERMINAL), "RESULTS").when(status.isin("QUEUED", "RUNNING"), "PROCESSING").otherwise("UPLOAD")
+
+
+def pixel_to_fraction(pixel: Column, height: Column) -> Column:
+    return F.when(height <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(pixel, height)) / height)
+
+
+def fraction_to_pixel(fraction: Column, height: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(fraction, F.lit(1.0))) * height
+
+
+def clamp_range(first: Column, last: Column, pages: Column) -> tuple[Column, Column]:
+    """A range of pages from 1, clamped to those that exist, as first (from 0) and last (exclusive)."""
+    low = F.greatest(F.lit(1), F.least(first, pages))
+    high = F.when(last < 0, pages).otherwise(F.greatest(low, F.least(last, pages)))
+    return low - 1, high
+
+
+def stable_snapshot(snapshots: DataFrame) -> DataFrame:
+    """job_id, attempt, text, stable: the first snapshot (job_id, attempt, text) equal to the one before it, of the first
+    ten; else the last of these."""
+    order = Window.partitionBy("job_id").orderBy("attempt")
+    rows = snapshots.withColumn("same", F.coalesce(F.col("text") == F.lag("text").over(order), F.lit(False))).where(F.col("attempt") <= MOST_SNAPSHOTS)
+    first = F.min(F.when(F.col("same"), F.struct("attempt", "text")))
+    found = rows.groupBy("job_id").agg(first.alias("s"), F.max(F.struct("attempt", "text")).alias("l"))
+    return found.select("job_id", F.coalesce("s.attempt", "l.attempt").alias("attempt"), F.coalesce("s.text", "l.text").alias("text"), F.col("s").isNotNull().alias("stable"))
