@@ -68,7 +68,8 @@ def decoded(files: DataFrame, decoder: str) -> DataFrame:
                     rows = [{"path": path, "page_no": k, "error": None, **p} for k, p in enumerate(pages, 1)]
                 except Exception as e:  # any decoder error is the file's, not the job's
                     rows = [{"path": path, "error": f"CORRUPTED_PDF: {e}"}]
-                yield pd.DataFrame(rows, columns=names)
+                frame = pd.DataFrame(rows, columns=names).astype(object)
+                yield frame.where(frame.notna(), None)
 
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, schema)
