@@ -7,7 +7,7 @@ spans their reading order; every list has an order of its own, whatever the shuf
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import pytrim
@@ -40,14 +40,24 @@ def rotated_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("rotation") != 0, F.col("page_no")))).alias("rotated"))
 
 
-def _repeating(spans: DataFrame, docs: DataFrame, zone: Column, value: str, best) -> DataFrame:
-    """doc_id, y (over repeating texts of a zone), strings: by falling count, then by first appearance."""
-    inside = spans.join(docs, "doc_id").withColumn("text", pytrim(F.col("text"))).where((F.col("text") != "") & zone)
-    by_page = inside.groupBy("doc_id", "least", "page_no", "text").agg(F.min(F.struct("seq", F.col(value).alias("v"))).alias("f"))
-    by_text = by_page.groupBy("doc_id", "least", "text").agg(F.count(F.lit(1)).alias("n"), best(F.col("f.v")).alias("y"), F.min(F.struct("page_no", "f.seq")).alias("first"))
-    often = by_text.where(F.col("n") >= F.col("least"))
+def repeating(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, zone (top, bottom, right), y, strings: texts that repeat in a zone, by falling count, then by first
+    appearance; y is the lowest edge of those at the top, the highest of those at the bottom, the leftmost at the right.
+
+    One pass over the spans serves all zones. Of a text that stands on a page more than once the first span counts.
+    """
+    found = digital_spans(pages, spans).join(documents(pages), "doc_id").withColumn("text", pytrim(F.col("text"))).where("text <> ''")
+    at = lambda name, test, value: F.when(test, F.struct(F.lit(name).alias("zone"), value.alias("v")))
+    zones = F.array(
+        at("top", (F.col("y0") < F.col("page_height") * TOP) & (F.col("x0") < F.col("page_width") * RIGHT), -F.col("y1")),
+        at("bottom", F.col("y1") > F.col("page_height") * BOTTOM, F.col("y0")), at("right", F.col("x0") > F.col("page_width") * RIGHT, F.col("x0")),
+    )
+    rows = found.select("doc_id", "least", "page_no", "seq", "text", F.explode(F.array_compact(zones)).alias("z"))
+    by_page = rows.groupBy("doc_id", "least", F.col("z.zone").alias("zone"), "text", "page_no").agg(F.min(F.struct("seq", "z.v")).alias("f"))
+    by_text = by_page.groupBy("doc_id", "least", "zone", "text").agg(F.count(F.lit(1)).alias("n"), F.min("f.v").alias("v"), F.min(F.struct("page_no", "f.seq")).alias("first"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "text"))), lambda x: x["text"])
-    return often.groupBy("doc_id").agg(best(F.col("y")).alias("y"), listed.alias("strings"))
+    often = by_text.where(F.col("n") >= F.col("least")).groupBy("doc_id", "zone").agg(F.min("v").alias("v"), listed.alias("strings"))
+    return often.select("doc_id", "zone", F.when(F.col("zone") == "top", -F.col("v")).otherwise(F.col("v")).alias("y"), "strings")
 
 
 _NONE = "cast(array() as array<string>)"
@@ -55,11 +65,9 @@ _NONE = "cast(array() as array<string>)"
 
 def header_footer(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, header_y, footer_y, header_strings, footer_strings."""
-    docs, found = documents(pages), digital_spans(pages, spans)
-    top = _repeating(found, docs, (F.col("y0") < F.col("page_height") * TOP) & (F.col("x0") < F.col("page_width") * RIGHT), "y1", F.max)
-    bottom = _repeating(found, docs, F.col("y1") > F.col("page_height") * BOTTOM, "y0", F.min)
-    rows = docs.join(top.select("doc_id", F.col("y").alias("t"), F.col("strings").alias("ts")), "doc_id", "left")
-    rows = rows.join(bottom.select("doc_id", F.col("y").alias("b"), F.col("strings").alias("bs")), "doc_id", "left")
+    of = lambda zone, column: F.max(F.when(F.col("zone") == zone, F.col(column)))
+    found = repeating(pages, spans).groupBy("doc_id").agg(of("top", "y").alias("t"), of("bottom", "y").alias("b"), of("top", "strings").alias("ts"), of("bottom", "strings").alias("bs"))
+    rows = documents(pages).join(found, "doc_id", "left")
     return rows.select(
         "doc_id", (F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(0.0)) + BUFFER).alias("header_y"), (F.least(F.coalesce("b", "page_height"), F.col("page_height")) - BUFFER).alias("footer_y"),
         F.coalesce("ts", F.expr(_NONE)).alias("header_strings"), F.coalesce("bs", F.expr(_NONE)).alias("footer_strings"),
@@ -69,7 +77,7 @@ def header_footer(pages: DataFrame, spans: DataFrame) -> DataFrame:
 def sidebar(pages: DataFrame, spans: DataFrame, zones: DataFrame) -> DataFrame:
     """doc_id, sidebar_x, sidebar_strings; zones from header_footer()."""
     docs, found = documents(pages), digital_spans(pages, spans)
-    right = _repeating(found, docs, F.col("x0") > F.col("page_width") * RIGHT, "x0", F.min).select("doc_id", F.col("y").alias("min_x"), "strings")
+    right = repeating(pages, spans).where("zone = 'right'").select("doc_id", F.col("y").alias("min_x"), "strings")
     body = found.join(zones.select("doc_id", "header_y", "footer_y"), "doc_id").where("y0 >= header_y AND y1 <= footer_y").groupBy("doc_id").agg(F.max("x1").alias("max_x1"))
     rows = docs.join(right, "doc_id", "left").join(body, "doc_id", "left")
     min_x = F.least("min_x", "page_width")

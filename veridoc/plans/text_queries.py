@@ -138,9 +138,10 @@ s AS (SELECT *, list_transform(string_split(web, chr(10)), lambda x, k: {{'secti
 h AS (SELECT *, list_filter(sections, lambda x: contains(lower(x.text), snippet)) AS hit FROM s)
 SELECT doc_id, ord, CASE WHEN len(hit) > 0 THEN hit[-1].section ELSE sections[1].section END AS section, CASE WHEN len(hit) > 0 THEN hit[-1].selector ELSE sections[1].selector END AS selector FROM h""")
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = lambda x, k: F.struct(F.substring(x, 1, 80).alias("section"), F.substring(x, 1, 500).alias("text"), F.format_string("p:nth-of-type(%d)", k + 1).alias("selector"))
-    rows = runs(spark, sf_dir).withColumn("sections", F.transform(F.split("web", "\n", -1), line))
-    found = rows.withColumn("s", W.find_section(F.col("at"), F.col("web"), F.col("sections")))
+    line = lambda x, k: F.struct(F.substring(x, 1, 80).alias("section"), F.lower(F.substring(x, 1, 500)).alias("text"), F.format_string("p:nth-of-type(%d)", k + 1).alias("selector"))
+    docs = docs_as(spark, sf_dir, web=WEB)
+    docs = docs.select("doc_id", "web", C.whitespace_runs(F.col("web")).alias("runs"), F.transform(F.split("web", "\n", -1), line).alias("sections"))
+    found = docs.select("doc_id", F.posexplode(F.transform("runs", lambda r: W.find_section(r["at"], F.col("web"), F.col("sections")))).alias("ord", "s"))
     return found.select("doc_id", "ord", "s.section", "s.selector")
 
 
