@@ -12,10 +12,11 @@ the threshold of 0.8 a pair is missed with probability (1 - 0.8 ** 6) ** 32 = 6e
 verified exactly from the two documents' shingles.
 
 Equal word sequences are one node, whatever their number, so copies cost nothing beyond the sketch. Classes are the
-connected components of the links. Buckets are never expanded into all pairs: in a round each bucket tests one pivot
-against the nodes of other components and then forgets the pivot; buckets whose nodes are all connected are done. What
-few buckets are left after PIVOTS rounds test all pairs that are in different components still. No pair of a bucket is
-left out: it was tested, or its nodes were connected already.
+connected components of the links. Buckets are never expanded into all pairs: first each bucket tests its smallest node,
+the pivot, with the others, which settles groups of close copies. Where nodes of a bucket are still unconnected, those
+but the pivot are compared in blocks of at most BLOCK nodes, vectorised, by one byte of each register; pairs that could
+reach the threshold (5 standard deviations below it) are compared by their shingles, best first, unless the block has
+connected them by then, each pair only in the first bucket it shares. Only links leave a block. No pair is left out: it was tested, or its nodes were connected already.
 
 Words are runs of characters other than ASCII white space. Texts are shuffled only for nodes that share a bucket.
 
@@ -38,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoc.functions.shipping import ship
 from veridoc.llm.shared import map_arrow, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
-PIVOTS = 3
+BLOCK = 512  # nodes of a bucket compared in one task with as many others
+NEAR = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 BATCH = 128  # texts sketched together
 CHARS = 1 << 20  # or as many characters
 WORD_CACHE = 500_000
@@ -163,7 +166,8 @@ def _texts(batches: Iterator[pa.RecordBatch], columns: list[str], text: str) ->
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, bands (empty if the text has no words) for each row; texts are not shuffled."""
+    """doc_id, text_hash, node, bands (empty if the text has no words), mini (a byte of each register) for each row; texts
+    are not shuffled."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +175,15 @@ def sketches(docs: DataFrame) -> DataFrame:
             hashes = [word_hashes(words_of(t)) for t in texts]
             full = [k for k, x in enumerate(hashes) if len(x)]
             bands: list = [[]] * len(texts)
+            mini = [b""] * len(texts)
             if full:
-                for k, row in zip(full, bands_of(sketch([shingles(hashes[k]) for k in full])), strict=True):
-                    bands[k] = row
-            yield pa.RecordBatch.from_arrays([ids, text_hash, pa.array([node_of(x) for x in hashes], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "bands"])
+                values = sketch([shingles(hashes[k]) for k in full])
+                for k, row, small in zip(full, bands_of(values), (values & _U(255)).astype(np.uint8), strict=True):
+                    bands[k], mini[k] = row, small.tobytes()
+            columns = [ids, text_hash, pa.array([node_of(x) for x in hashes], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(mini, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "bands", "mini"])
 
-    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node binary, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node binary, bands array<long>, mini binary")
 
 
 def weighted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,45 +244,85 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _block_links(key: int, within: bool, side: np.ndarray, comp: np.ndarray, mini: np.ndarray, keys: np.ndarray, sets: list) -> list[tuple[int, int]]:
+    """Links that connect components of one pair of blocks (within: of one block), best first; see the module."""
+    n = len(comp)
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for first in {c: k for k, c in reversed(list(enumerate(comp)))}.values():
+        for k in np.flatnonzero(comp == comp[first]):
+            parent[k] = first
+    near = []
+    for i in range(n):
+        others = np.arange(i + 1, n) if within else np.flatnonzero(side > side[i])
+        others = others[comp[others] != comp[i]]
+        if len(others):
+            alike = (mini[others] == mini[i]).mean(axis=1)
+            others, alike = others[alike >= NEAR], alike[alike >= NEAR]
+            shared = keys[others] == keys[i]
+            here = keys[i][shared.argmax(axis=1)] == key  # their first shared bucket is this one
+            near += [(-a, i, int(k)) for a, k in zip(alike[here], others[here], strict=True)]
+    links = []
+    for _, i, k in sorted(near):
+        if find(i) != find(k) and similarity(sets[i], sets[k]) >= THRESHOLD - 1e-9:
+            parent[find(i)] = find(k)
+            links.append((i, k))
+    return links
+
+
+def block_links(entries: DataFrame, payload: DataFrame) -> DataFrame:
+    """a, b: links between components inside buckets. entries: key, node, comp; payload: node, mini, bands, hashes, weights."""
+    live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    live = live.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = entries.join(live, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "comp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).join(payload, "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        column = {c: t.column(c).combine_chunks() for c in t.column_names}
+        nodes = column["node"].to_pylist()
+        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        nodes = [nodes[k] for k in order]
+        values = {c: [column[c][k].as_py() for k in order] for c in ("comp", "block", "mini", "hashes", "weights")}
+        comp = np.unique(np.array([c.hex() for c in values["comp"]]), return_inverse=True)[1]
+        mini = np.frombuffer(b"".join(values["mini"]), np.uint8).reshape(len(nodes), -1)
+        keys = column["bands"].flatten().to_numpy().reshape(len(nodes), -1)[order]
+        sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.int32)) for h, w in zip(values["hashes"], values["weights"], strict=True)]
+        within = column["first"][0] == column["second"][0]
+        links = _block_links(column["key"][0].as_py(), within, np.array(values["block"]), comp, mini, keys, sets)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.binary()), "b": pa.array([nodes[k] for _, k in links], pa.binary())})
+
+    ship(entries.sparkSession)
+    return rows.groupBy("key", "first", "second").applyInArrow(run, "a binary, b binary")
+
+
 def node_components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     """node, comp for all nodes that have a link; None if there is none. known: sketches()."""
     # one document of each node; the struct's order makes the choice the same in every attempt
-    nodes = known.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("d"))
-    entries = nodes.select("node", "d.doc_id", "d.text_hash", F.explode("d.bands").alias("key"))
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    entries = written(entries.join(keys, "key"), "buckets")
+    nodes = known.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands", "mini")).alias("d"))
+    nodes = written(nodes.select("node", "d.*"), "nodes")
+    entries = nodes.select("node", F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    entries = written(entries.join(shared, "key").select("key", "node", "pivot"), "buckets")
     if entries.isEmpty():
         return None
-    found = entries.select("node", "doc_id", "text_hash").distinct()
+    found = nodes.join(entries.select("node").distinct(), "node")
     sets = written(weighted_sets(docs, found), "sets")
-    entries = entries.select("key", "node", F.col("node").alias("comp"))
-    links = tested = None
-    for k in range(PIVOTS + 1):
-        by_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        # the first time the smallest node, mostly the same in all buckets of a group; then one of the smallest component
-        choice = F.struct("node") if not k else F.struct("n", "node")
-        live = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.min(F.struct(choice.alias("c"), F.col("comp").alias("pivot_comp"))).alias("p")).where("comps > 1")
-        live = live.select("key", F.col("p.c.node").alias("pivot"), F.col("p.pivot_comp").alias("pivot_comp"))
-        met = entries.join(live, "key")
-        if k < PIVOTS:
-            pairs = met.where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            other = entries.join(live.select("key"), "key").select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = met.join(other, "key").where("node < other AND comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(verified(pairs, sets), "verified")
-        links = new if links is None else links.unionByName(new)
-        if k == PIVOTS:
-            break
-        left = met.where("node <> pivot").select("key", "node", "comp")
-        if not new.isEmpty():
-            comps = written(components(links), "comps")
-            left = left.drop("comp").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        entries = written(left, "buckets")
-        if entries.isEmpty():
-            break
+    rest = entries.where("node <> pivot")
+    links = written(verified(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets), "verified")
+    rest = rest.select("key", "node")
+    if links.isEmpty():
+        rest = rest.withColumn("comp", F.col("node"))
+    else:
+        rest = rest.join(written(components(links), "comps"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    payload = nodes.join(sets, "node").select("node", "mini", "bands", "hashes", "weights")
+    links = links.unionByName(written(block_links(rest, payload), "block-links"))
     return None if links.isEmpty() else written(components(links), "comps")
 
 
