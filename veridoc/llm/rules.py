@@ -78,14 +78,15 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     long = lambda c: c.cast("bigint")
     found = docs.withColumn("_w", words(t)).withColumn("_l", lines)
     w, rows = F.col("_w"), F.col("_l")
+    # through explode(), so that the optimizer does not write these expressions out again for every use of a count
     return found.withColumn(
         "_rules",
-        F.struct(
+        F.explode(F.array(F.struct(
             long(F.size(w)).alias("n_words"), long(F.length(F.regexp_replace(t, SPACE, ""))).alias("word_chars"),
             long(without(r"[#*$%&|<>]")).alias("n_symbols"), long(F.size(rows) - F.size(F.array_distinct(rows))).alias("n_dup_lines"),
             repeat_words(w).alias("n_repeat_words"), long(F.size(rows)).alias("n_lines"), long(without(r"\p{Lu}")).alias("n_upper"),
             long(without("!")).alias("n_shouts"), long(F.size(F.array_distinct(w))).alias("n_distinct"),
-        ),
+        ))),
     ).drop("_w", "_l")
 
 
