@@ -256,6 +256,21 @@ def test_rules_awkward(spark, awkward, empty):
     assert rules.score_rules(empty).count() == 0
 
 
+def votes_of(spark, groups):
+    """Documents of the label model: (names of the rules that vote bad, all others good; fails the base rule; how many)."""
+    code = lambda names: sum((rules.BAD if r in names else rules.GOOD) * 3 ** (len(rules.RULES) - 1 - i) for i, r in enumerate(rules.RULES))
+    rows = spark.createDataFrame([(code(names), failed, n) for names, failed, n in groups], "code int, base_failed boolean, n int")
+    return rows.select(F.struct("code", "base_failed").alias("_rules"), F.explode(F.sequence(F.lit(1), F.col("n")))).select("_rules"), code
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.33])
+@pytest.mark.parametrize(("hot", "failed"), [(("repeats", "variety"), True), (("lines", "repeats", "variety"), True), (("capitals",), False), (("capitals", "shouts"), False), (("lines", "capitals", "shouts"), False)])
+def test_rules_hot_junk_does_not_hide_other_junk(spark, hot, failed, share):
+    voted, code = votes_of(spark, [((), False, 7861), (("symbols",), False, 591), (("lines",), False, 63), (("capitals", "shouts"), False, 23), (hot, failed, int(9000 * share / (1 - share)))])
+    found = {r.code: r.posterior for r in rules.label_model(voted).collect()}
+    assert found[code(("symbols",))] < 0.5 and found[code(("lines",))] < 0.5 and found[code(hot)] < 0.5 <= found[code(())]
+
+
 def test_repeat_words(spark):
     def brute(text):
         w = text.split(" ") if text else []

@@ -4,6 +4,11 @@ Each rule votes good, bad or abstains on a document. A latent-class model gives
 documents apart, its share of bad votes, so its accuracies; expectation-maximisation estimates them without labels, and
 the posterior probability of "good" replaces all-must-pass filtering. An abstention says nothing.
 
+Junk is of many kinds and a rule looks for one of them, so a frequent kind must not stand for all: documents that the
+base rule rejects have no weight in the fit; bad documents that only other rules vote bad do not count as misses of a
+rule; and a good vote never tells more than the prior belief about it. SQL, as given, has none of the three: it fits all
+documents to one bad class. Both give the same rows unless a kind of junk is frequent.
+
 The model sees documents only through their vote patterns. There are at most 3 ** len(RULES) of those whatever the
 corpus, so one aggregation over all documents leaves a table with a proven bound; EM runs over it as one SQL expression.
 Everything is DataFrame functions: no Python on the executors, no shuffle of texts.
@@ -15,6 +20,7 @@ untouched, as all of its own columns live in one struct column named `_rules`.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,7 +113,8 @@ def votes(counted: DataFrame) -> DataFrame:
 def label_model(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """code, posterior: the probability of "good" for each vote pattern that occurs. At most 3 ** len(RULES) rows."""
     n = len(RULES)
-    patterns = voted.groupBy(F.col("_rules.code").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    weight = F.when(F.col("_rules.base_failed"), 0.0).otherwise(1.0)
+    patterns = voted.groupBy(F.col("_rules.code").alias("code")).agg(F.sum(weight).alias("n"))
     digits = F.array(*[F.floor(F.col("code") / 3 ** (n - 1 - j)).cast("int") % 3 for j in range(n)])
     one = F.struct("code", "n", digits.alias("v"))
     whole = patterns.agg(F.sort_array(F.collect_list(one)).alias("p"))
@@ -116,19 +123,19 @@ def label_model(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def posterior(q: Column) -> Column:
         """One round: from the documents' posteriors to outcome probabilities and back."""
-        parts = F.transform(p, lambda x, i: F.struct((x["n"] * F.get(q, i)).alias("g"), (x["n"] * (1 - F.get(q, i))).alias("b"), x["v"].alias("v")))
+        parts = F.transform(p, lambda x, i: F.struct((x["n"] * F.get(q, i)).alias("g"), (x["n"] * (1 - F.get(q, i))).alias("b"), x["v"].alias("v"), F.array_contains(x["v"], BAD).alias("junk")))
 
         def model(z: Column) -> Column:
-            all_g = F.aggregate(z, double(0), lambda a, x: a + x["g"])
-            all_b = F.aggregate(z, double(0), lambda a, x: a + x["b"])
-
             def cell(k: Column) -> Column:
                 vote = lambda x: F.get(x["v"], F.floor(k / 3).cast("int"))
-                sum_of = lambda c, test: F.aggregate(z, double(0), lambda a, x: a + F.when(test(vote(x)), x[c]).otherwise(0.0))
+                own = lambda c, x: F.lit(True) if c == "g" else ~x["junk"] | (vote(x) == BAD)
+                sum_of = lambda c, test: F.aggregate(z, double(0), lambda a, x: a + F.when(test(vote(x)) & own(c, x), x[c]).otherwise(0.0))
+                n_of = lambda c: sum_of(c, lambda v: F.lit(True))
                 believed = lambda bad: F.when(k % 3 == BAD, bad).otherwise(1 - bad)
                 share = lambda c, n, bad: (sum_of(c, lambda v: v == k % 3) + (n * PRIOR + 1) * believed(bad)) / (sum_of(c, lambda v: v != ABSTAIN) + n * PRIOR + 1)
-                odds = F.log(share("g", all_g, BAD_ON_GOOD)) - F.log(share("b", all_b, BAD_ON_BAD))
-                return F.when(k % 3 == ABSTAIN, 0.0).otherwise(odds)
+                odds = F.log(share("g", n_of("g"), BAD_ON_GOOD)) - F.log(share("b", n_of("b"), BAD_ON_BAD))
+                most = math.log((1 - BAD_ON_GOOD) / (1 - BAD_ON_BAD))
+                return F.when(k % 3 == ABSTAIN, 0.0).when(k % 3 == GOOD, F.least(odds, F.lit(most))).otherwise(odds)
 
             return F.transform(F.sequence(F.lit(0), F.lit(3 * n - 1)), cell)
 
@@ -170,7 +177,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in DuckDB, with one pair of common table expressions for each round."""
+    """The plain model (all documents, one bad class) in DuckDB, with one pair of common table expressions for each round."""
     n, ws = len(RULES), r"\x20\x09-\x0D"
     cases = []
     for measure, bad, good in RULES.values():
