@@ -113,6 +113,36 @@ def test_missing_words():
     assert fuzzy.window("one two three four", ["one", "two"]) == ("", 0.0)
 
 
+def test_best_window_equals_scoring_all_windows():
+    rng = random.Random(7)
+    lexicon = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+
+    def brute(sentence, words):
+        n = len(sentence.split())
+        size = max(n, int(1.5 * n))
+        scored = [(round(-fuzzy.partial_ratio(sentence, " ".join(words[k : k + size])), 9), k) for k in range(len(words) - size + 1)]
+        low, k = min(scored, default=(0, 0))
+        return (" ".join(words[k : k + size]), -low) if low < 0 else ("", 0.0)
+
+    for case in range(60):
+        words = [rng.choice(lexicon) for _ in range(rng.randint(1, 120))]
+        given = words[(at := rng.randrange(len(words))) : at + rng.randint(1, 20)]
+        web = [w for i, w in enumerate(words) if i % 7] if case % 3 else words * 2
+        sentence = " ".join(given if case % 5 else [rng.choice(lexicon) + "xyz" for _ in range(8)])
+        part, score = fuzzy.window(sentence, web)
+        assert (part, score) == (brute(sentence, web)[0], pytest.approx(brute(sentence, web)[1]))
+
+
+def test_window_queries_read_documents(spark):
+    from veridoc.plans import text_queries as T
+
+    folder = "/root/testdata/sf0.001"
+    ids = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert T._thinned(spark, folder).count() == len(ids)
+    most = spark.read.parquet(f"{folder}/benchmark.parquet").count()
+    assert most < len({r.pair_id for r in T.missing_words(spark, folder).collect()}) <= len(ids)
+
+
 def test_html():
     root = html.parse('<body><nav>menu</nav><section><h1>Top &amp; more</h1><p>One<p>Two<br>Three</section><main> </main><article class="x">Body <b>text</b><div class="cookie-box">c</div></article><script>x()</script></body>')
     assert html.headings(root) == [{"section": "Top & more", "text": "Top & more\nOne\nTwo\nThree", "selector": "h1:nth-of-type(1)"}]

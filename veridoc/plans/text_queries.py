@@ -296,10 +296,10 @@ def missing_paragraph_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as source, and on the web without every seventh word."""
+    """Documents as source, and on the web without every seventh word."""
     w = X.split_words(F.col("text"))
     web = F.array_join(F.filter(w, lambda x, i: (i + 1) % 7 != 0), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("pdf"), web.alias("web"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("pdf"), web.alias("web"))
 
 
 @query()
