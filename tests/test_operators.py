@@ -157,6 +157,39 @@ def test_clean_web_text(spark):
     assert not any(k in column(spark, [given], W.clean_web_text)[0].lower() for k in ("9876", "@", "https", "©", "copyright", "read more", "image"))
 
 
+def test_clean_web_text_bears_long_words(spark):
+    import time
+
+    long = "x1-" * 350_000
+    given = [long, long + "@" + long, f"keep {long}@a.org here", "a@b.c-x@y.z keep a.b-c@d@e.f", " " * 300_000 + "a" + " " * 300_000 + "b  ", "know click here more", "x ALL rights reserved © y\nz"]
+    began = time.time()
+    found = column(spark, given, W.clean_web_text)
+    assert found[0] == long and found[2] == "keep  here" and found[3] == "keep a.b-c@" and found[5] == "know  more" and found[6] == "x \nz"
+    assert time.time() - began < 60
+
+
+def test_long_texts_of_runs(spark):
+    import time
+
+    began = time.time()
+    text = "é  " * 100_000
+    [rows] = column(spark, [text], lambda c: F.slice(C.whitespace_runs(c), 99_999, 2))
+    assert [(r.at, r.space_count, r.context_before[-1], r.context_after[:1]) for r in rows] == [(299_995, 2, "é", "é"), (299_998, 2, "é", "")]
+    assert column(spark, [text, None, "a b"], C.whitespace_count) == [100_000, 0, 0]
+    assert time.time() - began < 30
+
+
+def test_empty_or_null_web_misses_everything(spark):
+    paragraph = "A paragraph of more than sixty characters that nobody carried over to the page."
+    rows = spark.createDataFrame([(1, 1, paragraph, ""), (1, 2, paragraph, None), (1, 3, paragraph, paragraph + " x"), (1, 4, None, "x"), (1, 5, paragraph, "A paragraph")], "item_id long, doc_id long, paragraph string, web string")
+    assert sorted((r.doc_id, r.score) for r in fuzzy.missing_paragraphs(rows).collect()) == [(1, 0.0), (2, 0.0)]
+    assert [r[0] for r in rows.orderBy("doc_id").select(fuzzy.present(F.col("paragraph"), F.col("web"))).collect()] == [False, False, True, False, True]
+    said = "One two three four five six seven eight."
+    pairs = spark.createDataFrame([(1, said, None), (2, said, ""), (3, None, "x"), (4, None, None)], "pair_id long, pdf string, web string")
+    assert fuzzy.missing_words(pairs).collect() == []
+    assert [(r.pair_id, r.window, r.score) for r in fuzzy.best_windows(pairs).orderBy("pair_id").collect()] == [(1, "", 0.0), (2, "", 0.0)]
+
+
 def test_layout_merges_runs_of_peaks(spark):
     pages = spark.createDataFrame([(1, k, 612.0, 792.0, 0, "x" * 60) for k in (1, 2)], "doc_id int, page_no int, width double, height double, rotation int, plain_text string")
     at = [10.0, 90.0, 170.0, 400.0]

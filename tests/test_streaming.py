@@ -21,7 +21,7 @@ def test_states_over_restarts(spark, tmp_path):
     for first in (0, 40):
         events(spark, first, 40).coalesce(1).write.mode("append").parquet(source)
         streams.run_states(streams.event_stream(spark, source, spark.read.parquet(source).schema), states, checkpoint).awaitTermination()
-    got = sorted(tuple(r) for r in streams.current(spark, states).select("job_id", "status", "progress", "events").collect())
+    got = sorted(tuple(r) for r in streams.current(spark, states, jobs.latest(spark.read.parquet(source)).schema).select("job_id", "status", "progress", "events").collect())
     want = sorted(tuple(r) for r in jobs.latest(spark.read.parquet(source)).select("job_id", "status", "progress", "events").collect())
     assert got == want and len(got) == 5
 
@@ -34,3 +34,14 @@ def test_windowed_counts_wait_for_the_watermark(spark, tmp_path):
     query.awaitTermination()
     closed = spark.table("counts").agg(F.sum("events")).first()[0]
     assert closed == 240  # the fifth hour is open still
+
+
+def test_state_query_reads_folders_and_empty_tables(spark, tmp_path):
+    from veridoc.plans import job_queries as Q
+
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    given.repartition(3).write.parquet(str(tmp_path / "a" / "events.parquet"))
+    got, want = (sorted(map(tuple, q(spark, str(tmp_path / "a")).collect())) for q in (Q.job_state_stream, Q.job_latest_state))
+    assert got == want and got
+    given.where("false").write.parquet(str(tmp_path / "b" / "events.parquet"))
+    assert Q.job_state_stream(spark, str(tmp_path / "b")).count() == 0

@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers, wherever the session was started."""
+"""What a cluster shares: this package's modules in Python workers, and the folder that driver and executors see."""
 
 from __future__ import annotations
 
@@ -23,3 +23,17 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder, or, where neither is set (tests), a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_to.get() if set_to.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='veridoc-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

@@ -5,6 +5,7 @@ Positions and lengths count code points. White space is Unicode white space unle
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -31,7 +32,7 @@ WORD = r"[\p{L}\p{N}_]"
 
 def pytrim(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|(?<!{SPACE}){SPACE}++$", "")
 
 
 def split_words(c: Column) -> Column:
@@ -73,17 +74,22 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
-def matches_at(text: Column, pattern: str) -> Column:
-    """All matches of a pattern: array<struct<at (from 0), found>>. The gaps that split() leaves tell the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<at:int,found:string>>)").alias("rows"))
+def runs_of(pattern: str, around: int):
+    """All matches of a pattern with the text around them, as an Arrow function, linear in the text:
+    array<struct<at (from 0), found, context, before>>; before: characters of the context before the match."""
+    find = re.compile(pattern).finditer
 
-    def step(state: Column, i: Column) -> Column:
-        at, m = state["end"] + F.length(F.get(gaps, i)), F.get(found, i)
-        return F.struct((at + F.length(m)).alias("end"), F.concat(state["rows"], F.array(F.struct(at.alias("at"), m.alias("found")))).alias("rows"))
+    @F.pandas_udf("array<struct<at:int,found:string,context:string,before:int>>")
+    def to_runs(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict] | None:
+            if t is None:
+                return None
+            spans = ((m.start(), m.end(), max(0, m.start() - around)) for m in find(t))
+            return [{"at": a, "found": t[a:b], "context": t[start : b + around], "before": a - start} for a, b, start in spans]
 
-    return F.when(F.size(found) == 0, start["rows"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["rows"])
+        return s.map(one)
+
+    return to_runs
 
 
 def normalise(form: str):

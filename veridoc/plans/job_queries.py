@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.shipping import shared_folder
 from veridoc.functions.text import prepare
 from veridoc.operators import html as H
 from veridoc.operators import jobs as J
@@ -79,11 +79,12 @@ def job_view_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS} SELECT job_id, ts::VARCHAR AS ts, status, progress, events FROM s")
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/job-stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/job-stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    events = job_events(S.event_stream(spark, sf_dir, schema, "events.parquet"))
+    events = job_events(S.event_stream(spark, f"{sf_dir}/events.parquet", schema))
     S.run_states(events, f"{base}/states", f"{base}/checkpoint").awaitTermination()
-    return S.current(spark, f"{base}/states").withColumn("ts", F.col("ts").cast("string")).select("job_id", "ts", "status", "progress", "events")
+    states = S.current(spark, f"{base}/states", J.latest(events).schema)
+    return states.withColumn("ts", F.col("ts").cast("string")).select("job_id", "ts", "status", "progress", "events")
 
 
 @query("""WITH n AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, event_type AS text FROM events),

@@ -115,7 +115,12 @@ def issue_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs_as(spark, sf_dir, web=WEB)
-    return rows.select("doc_id", "web", F.posexplode(C.whitespace_runs(F.col("web"))).alias("ord", "r")).select("doc_id", "web", "ord", "r.*")
+    return rows.select("doc_id", F.posexplode(C.whitespace_runs(F.col("web"))).alias("ord", "r")).select("doc_id", "ord", "r.*")
+
+
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where only the number of runs is asked for, no run is cut out."""
+    return docs_as(spark, sf_dir, web=WEB).select(F.col("doc_id").alias("pair_id"), C.whitespace_count(F.col("web")).cast("long").alias("n"))
 
 
 RUNS = f"""
@@ -260,32 +265,34 @@ def pass_two_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports -----------------------------------------------------------------------------------------------------
 
 
-def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = runs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.lit("extra_whitespace").alias("type"), F.lit("minor").alias("severity"))
-    money = currency_issues(spark, sf_dir).select("pair_id", "type", "severity")
+def counted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, type, severity, n: how many issues of a type a pair has."""
+    space = run_counts(spark, sf_dir).where("n > 0").select("pair_id", F.lit("extra_whitespace").alias("type"), F.lit("minor").alias("severity"), "n")
+    money = currency_issues(spark, sf_dir).select("pair_id", "type", "severity", F.lit(1).cast("long").alias("n"))
     return space.unionByName(money)
 
 
 @query(f"""WITH {RUNS}, {PAIRS.strip()}, u AS (SELECT doc_id AS pair_id, 'extra_whitespace' AS type, 'minor' AS severity FROM runs UNION ALL SELECT pair_id, 'currency_mismatch', 'must_fix' FROM bad)
 SELECT type, severity, count(*) AS issues, count(DISTINCT pair_id) AS pairs FROM u GROUP BY type, severity""")
 def issues_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_issues(spark, sf_dir).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("pair_id").alias("pairs"))
+    by_pair = counted_issues(spark, sf_dir).groupBy("type", "severity", "pair_id").agg(F.sum("n").alias("n"))
+    return by_pair.groupBy("type", "severity").agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("pairs"))
 
 
 @query(f"""WITH {RUNS} SELECT doc_id AS pair_id, 0 AS must_fix, count(start_at) AS minor, count(start_at) AS extra_whitespace_count, 0 AS currency_mismatch_count, 0 AS missing_word_count, 0 AS missing_paragraph_count,
   CASE WHEN count(start_at) > 0 THEN 'minor_issues' ELSE 'all_clear' END AS overall FROM w LEFT JOIN runs USING (doc_id) GROUP BY doc_id""")
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"))
-    issues = runs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.lit("extra_whitespace").alias("type"), F.lit("minor").alias("severity"))
+    issues = run_counts(spark, sf_dir).where("n > 0").select("pair_id", F.lit("extra_whitespace").alias("type"), F.lit("minor").alias("severity"), "n")
     return C.report(pairs, issues)
 
 
-@query("""SELECT item_id, doc_id, contains(d.text, b.text) OR contains(b.text, d.text) AS present FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE length(trim(b.text)) >= 60""")
+@query("""SELECT item_id, doc_id, coalesce(d.text <> '' AND (contains(d.text, b.text) OR contains(b.text, d.text)), false) AS present FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE length(trim(b.text)) >= 60""")
 def missing_paragraph_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veridoc.operators.fuzzy import paragraph_pairs
+    from veridoc.operators.fuzzy import paragraph_pairs, present
 
     pairs = paragraph_pairs(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
-    return pairs.select("item_id", "doc_id", (F.contains("web", "paragraph") | F.contains("paragraph", "web")).alias("present"))
+    return pairs.select("item_id", "doc_id", present(F.col("paragraph"), F.col("web")).alias("present"))
 
 
 @query()

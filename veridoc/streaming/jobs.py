@@ -13,8 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 from veridoc.operators import jobs
 
 
-def event_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 100) -> DataFrame:
-    """New Parquet files of a folder."""
+def event_stream(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
+    """New Parquet files of a folder; or a table that is one file, then what it holds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder, glob = path, "*.parquet"
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, glob = path.rsplit("/", 1)
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -28,11 +32,14 @@ def run_states(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest state of each job, over all batches."""
-    rows = spark.read.parquet(folder)
-    names = [c for c in rows.columns if c not in ("job_id", "batch")]
-    return rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("job_id", "s.*")
+def current(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The latest state of each job, over all batches; schema: that of jobs.latest(). No batch yet: no row."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    names = [f.name for f in schema if f.name != "job_id"]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*names), F.col("batch").cast("long")).alias("s")).select("job_id", "s.*")
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
