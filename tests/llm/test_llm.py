@@ -154,6 +154,38 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(none).count() == 0
 
 
+def table_folder(tmp_path, df, name):
+    df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def revisit_pages(spark):
+    rows = [(i, f"http://h/{i % 9}", f"page {i % 11}" if i % 3 else "the one that a third has") for i in range(1, 300)]
+    rows += [(500, "http://r/", "same row")] * 60 + [(None, "http://n/", "same row")] * 40 + [(None, f"http://n/{i}", None) for i in range(30)] + [(None, None, "no id, once")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_warc_revisits_equal_sql(spark, tmp_path, monkeypatch):
+    """One payload on a third of the pages, equal rows, null ids; copies are spelled out in several portions."""
+    import duckdb
+
+    monkeypatch.setattr(warc, "COPIES", 7)
+    folder = table_folder(tmp_path, revisit_pages(spark), "pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    found = warc.op4_warc_revisits(spark, folder)
+    same(found, con, warc.SQL)
+    assert found.where("record_type = 'revisit'").count() > 300
+
+
+def test_warc_moves_a_payload_once_for_each_task(spark, tmp_path):
+    """One long payload on every page: what the writers get is one response and headers."""
+    rows = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.lit("x" * 10_000).alias("html"))
+    manifest = warc.write_deduplicated(rows.repartition(4), fresh_path(spark, "test-warc"))
+    back = warc.read_archives(manifest)
+    assert Counter(r.record_type for r in back.collect()) == {"response": 1, "revisit": 1999} and len({r.record_id for r in back.collect()}) == 2000
+
+
 def test_warc_rejects_damage():
     row = {"page_id": 1, "url": "u", "copy": 0, "payload": b"abc", "payload_digest": "A" * 32, "payload_bytes": 3, "record_type": "response", "refers_to": None, "refers_to_url": None}
     with pytest.raises(ValueError):

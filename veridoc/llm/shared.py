@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.shipping import ship
+from veridoc.functions.shipping import shared_folder, ship
 
 #: Runs of ASCII white space, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,37 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where that is unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_to.get() if set_to.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='veridoc-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+_written: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files that written() made for df; for intermediate tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Remove the tables that written() has made after the first `since`, but for those that `keep` reads; for
+    intermediate tables that nothing reads any more."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in (keep.inputFiles() if keep is not None else ())}
+    for path in [x for x in _written[since:] if x.rsplit("/", 1)[-1] not in kept]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def written_so_far() -> int:
+    """How many tables of written() there are, for drop_written()."""
+    return len(_written)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has; upper and lower case are the same."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:

@@ -2,18 +2,23 @@
 
 Records of equal payloads need storing once. Headers (id, digest, length; no payloads) are shuffled by payload digest
 and reduced to the one response of each digest: that with the largest id. Every other record of the digest becomes a
-revisit that refers to it, found by joining headers to responses. Then archives are written with fresh headers:
-responses carry their payload, revisits only their headers. Payloads move once, by record id, from the input to the
-writers.
+revisit that refers to it, found by joining the headers of shared digests to their responses. Then archives are written
+with fresh headers: responses carry their payload, revisits only their headers.
+
+Payloads are reduced to one for each digest before and after they are shuffled, so a payload that most pages have moves
+once for each task that reads it, and each other payload once; revisits never carry one. Equal rows are one header with
+a count until they are written, when the count is spelled out in portions of COPIES that other tasks write. The joins
+of headers are inner joins of shuffled sides, which adaptive execution splits where one digest has very many records.
 
 A writer task fills one archive, a gzip member for each record (so readers can seek and skip), under a name of its own
 in the shared folder; it is renamed when complete, and only archives listed in the manifest, from tasks that succeeded,
 count. A repeated or speculative attempt leaves a file that nobody reads. Files go through pyarrow.fs, so the folder
 may be any store it knows. Readers stream one record at a time.
 
-Defined cases: a null payload is empty; payloads shorter than min_payload are always responses; of rows with equal id and
-payload the first in a fixed order is the response and the others refer to it, so repeated rows stay; null ids sort
-below all others; a null url is an empty target; an empty table makes no archive; other columns are ignored.
+Defined cases: a null payload is empty; payloads shorter than min_payload are always responses; of records with the largest
+id of their payload that with the largest url, and of equal rows one, is the response and the others refer to it, so
+repeated rows stay; null ids sort below all others; a null url is an empty target; an empty table makes no archive;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.llm.shared import fresh_path, map_arrow, table, written
@@ -37,6 +42,7 @@ from veridoc.llm.shared import fresh_path, map_arrow, table, written
 #: Date of all records, as a crawl's own date is not in the input; a parameter.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 1
+COPIES = 100_000  # equal rows that one task writes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
@@ -50,13 +56,25 @@ def digest(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolve(headers: DataFrame, min_payload: int = 0) -> DataFrame:
-    """headers (page_id, url, payload_bytes, payload_digest; distinct) with `original` (page_id, url of the response of
-    its digest; null if the payload is shorter than min_payload) and is_original."""
+def resolve(headers: DataFrame) -> DataFrame:
+    """The revisits among headers (page_id, url, payload_bytes, payload_digest, rows: how many equal ones there are):
+    those columns with refers_to, refers_to_url, the first copy that is a revisit, and `rows` of revisits alone."""
     key = ["payload_digest", "payload_bytes"]
-    responses = headers.where(F.col("payload_bytes") >= min_payload).groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("original"))
-    rows = headers.join(responses, key, "left")
-    return rows.withColumn("is_original", F.col("page_id").eqNullSafe(F.col("original.page_id")) & (F.col("url") == F.col("original.url")))
+    shared = headers.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("original"), F.sum("rows").alias("records")).where("records > 1")
+    found = headers.join(shared, key)
+    original = F.col("page_id").eqNullSafe(F.col("original.page_id")) & (F.col("url") == F.col("original.url"))
+    found = found.withColumn("first_copy", original.cast("int")).withColumn("rows", F.col("rows") - F.col("first_copy")).where("rows > 0")
+    return found.select("page_id", "url", *key, F.col("original.page_id").alias("refers_to"), F.col("original.url").alias("refers_to_url"), "first_copy", "rows")
+
+
+def spelled_out(headers: DataFrame) -> DataFrame:
+    """Each header as many times as its `rows` says, with `copy` counted from first_copy; portions of COPIES are dealt out."""
+    portions = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES)))
+    one = headers.where(f"rows <= {COPIES}").withColumn("_portion", F.lit(0).cast("long"))
+    more = headers.where(f"rows > {COPIES}").withColumn("_portion", portions).repartition("payload_digest", "_portion")
+    start = F.col("_portion") * COPIES
+    copies = F.sequence(start, F.least(start + COPIES, F.col("rows")) - 1)
+    return one.unionByName(more).withColumn("_k", F.explode(copies)).withColumn("copy", (F.col("first_copy") + F.col("_k")).cast("long")).drop("_k", "_portion", "rows", "first_copy")
 
 
 def record_name(page_id: int | None, url: str, copy: int) -> str:
@@ -187,10 +205,12 @@ def read_archives(manifest: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records read back, with the page and the payload length that a revisit's original response has."""
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-    found = records.join(originals, "refers_to_id", "left")
-    return found.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_bytes")
+    """Records read back, with the page and the payload length that a revisit's original response has. Only revisits
+    are joined; responses know theirs."""
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    originals = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
+    found = revisits.drop("payload_bytes").join(originals, "refers_to_id", "left").withColumnRenamed("_bytes", "payload_bytes")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
 
 
 def write_deduplicated(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
@@ -198,23 +218,20 @@ def write_deduplicated(pages: DataFrame, folder: str, min_payload: int = 0) -> D
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     size, name = F.octet_length("payload").cast("long").alias("payload_bytes"), digest(F.col("payload")).alias("payload_digest")
-    heads = rows.select("page_id", "url", size, name)
-    decided = resolve(heads.groupBy(*heads.columns).agg(F.count(F.lit(1)).alias("rows")), min_payload)
-    # payloads meet their decisions by id
-    row_id = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    decided = decided.select(row_id.alias("_id"), F.col("url").alias("_url"), F.col("payload_digest").alias("_digest"), "payload_bytes", "original", "is_original", "rows")
-    named = rows.select("page_id", "url", "payload", name, row_id.alias("_id"))
-    met = named.join(decided, (named["_id"] == decided["_id"]) & (named["url"] == decided["_url"]) & (named["payload_digest"] == decided["_digest"]))
-    met = met.select("page_id", "url", "payload_digest", "payload_bytes", "payload", "original", "is_original", "rows")
-    # equal rows, rare as they are, are numbered: the first is the original, the others refer to it
-    numbered = Window.partitionBy("page_id", "url", "payload_digest").orderBy("payload_bytes")
-    met = met.where("rows = 1").withColumn("copy", F.lit(0)).unionByName(met.where("rows > 1").withColumn("copy", F.row_number().over(numbered) - 1))
-    revisit = F.col("original").isNotNull() & ~(F.col("is_original") & (F.col("copy") == 0))
-    records = met.select(
-        "page_id", "url", "copy", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("original.page_id")).alias("refers_to"), F.when(revisit, F.col("original.url")).alias("refers_to_url"),
-        F.when(~revisit, F.col("payload")).alias("payload"),
-    )
+    rows = rows.select("page_id", "url", "payload", size, name)
+    big, key = rows.where(F.col("payload_bytes") >= min_payload), ["payload_digest", "payload_bytes"]
+    heads = big.groupBy("page_id", "url", *key).agg(F.count(F.lit(1)).alias("rows"))
+    revisits = spelled_out(resolve(written(heads, "warc-headers")))
+    responses = big.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("o"), F.first("payload").alias("payload"))
+    responses = responses.select("o.page_id", "o.url", *key, F.lit(0).cast("long").alias("copy"), "payload")
+    none = lambda kind: F.lit(None).cast(kind)
+    names = ["page_id", "url", "copy", *key, "record_type", "refers_to", "refers_to_url", "payload"]
+    records = responses.withColumns({"record_type": F.lit("response"), "refers_to": none("long"), "refers_to_url": none("string")}).select(*names)
+    records = records.unionByName(revisits.withColumns({"record_type": F.lit("revisit"), "payload": none("binary")}).select(*names))
+    if min_payload > 0:
+        small = rows.where(F.col("payload_bytes") < min_payload).groupBy("page_id", "url", *key, "payload").agg(F.count(F.lit(1)).alias("rows"))
+        small = spelled_out(small.withColumn("first_copy", F.lit(0)))
+        records = records.unionByName(small.withColumns({"record_type": F.lit("response"), "refers_to": none("long"), "refers_to_url": none("string")}).select(*names))
     return write_archives(records, folder)
 
 
@@ -227,9 +244,9 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-  r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best, sha1(h) AS x FROM p),
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h FROM pages),
+  r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS best, sha1(h) AS x FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC)),
   d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM r)
-SELECT page_id, strlen(h) AS payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> best THEN best END AS refers_to FROM d
+SELECT page_id, strlen(h) AS payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN best END AS refers_to FROM d
 """
