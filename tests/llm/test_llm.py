@@ -324,17 +324,37 @@ def test_chat_round_trip(spark):
     turns = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(hard)]
     turns += [(2, 0, "user", None), (2, 0, None, "x"), (3, 1, "odd\nrole\\<|", "t"), (None, None, "assistant", "n"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     made = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)))
-    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    back = {r.conv_id: r for r in made.withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    examples = defaultdict(list)
+    for r in chat.explode_examples(made).withColumn("said", chat.unescape(F.col("reply"))).orderBy("example").collect():
+        examples[r.conv_id].append(r)
     for conv in (1, 2, 3, 4, None):
         want = sorted(((t, r or "", x or "") for c, t, r, x in turns if c == conv), key=lambda x: (x[0] is not None, x))
         assert [(t.role, t.text) for t in back[conv].turns] == [(r, x) for _, r, x in want]
-        assert back[conv].targets == [x for _, r, x in want if r == "assistant"]
-    examples = chat.explode_examples(made).where("conv_id = 1").orderBy("example").collect()
+        replies = [x for _, r, x in want if r == "assistant"]
+        assert [e.said for e in examples[conv]] == (replies or [None]) and [e.example for e in examples[conv]] == (list(range(1, len(replies) + 1)) or [None])
+    spelt = chat.spell_out(chat.explode_examples(made)).where("conv_id = 1").orderBy("example").collect()
     text = back[1].formatted
-    assert len(examples) == 4 and all(text.startswith(e.context + e.reply + chat.END) for e in examples)
+    assert len(spelt) == 4 and all(text.startswith(e.context + e.reply + chat.END) and text[e.loss_start : e.loss_end] == e.reply for e in spelt)
+    assert [e.turn for e in spelt] == [1, 3, 5, 7] and all(e.context.endswith("<|im_start|>assistant\n") for e in spelt)
     assert chat.format_conversations(made.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_query_on_awkward_tables(spark, tmp_path):
+    """Conversations without a reply, with null ids and texts, and one with a third of all rows, by a plain walk."""
+    rows = [(i % 40, i, "assistant" if i % 2 else "user", f"text {i} <|im_end|>") for i in range(400)] + [(77, i, ("user", "assistant")[i % 2], f"é{i}\\") for i in range(200)]
+    rows += [(50, 0, "user", "no reply"), (None, 0, "assistant", None), (51, None, None, None)]
+    folder = table_folder(tmp_path, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(9)), "conversations")
+    got = {r.conv_id: r for r in chat.op9_chat_prefix_target(spark, folder).collect()}
+    rows += [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+    assert set(got) == {r[0] for r in rows}
+    for conv, r in got.items():
+        mine = sorted(((t is not None, t or 0, a or "", x or "") for c, t, a, x in rows if c == conv))
+        said = "".join(x for _, _, a, x in mine if a == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(mine), len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{x}\n" for _, _, a, x in mine).encode()).hexdigest()
+
+
 # --- 10: near-duplicates ------------------------------------------------------------------------------------------
 
 

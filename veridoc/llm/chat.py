@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: the context is everything before that turn, and only the reply is
-trainable. All examples of a conversation are prefixes of one formatted string, so an example is stored as offsets into
-that string instead of a copy: the output grows with the conversation, not with the square of its turns.
-explode_examples() spells the texts out where a trainer wants them.
+trainable. explode_examples() makes one row for each assistant turn: how much of the conversation's formatted string is
+its context, which part of the string the loss mask covers, and the reply under that mask. Contexts are prefixes of one
+string, so they are kept as a length: the output grows with the conversation, not with the square of its turns.
+spell_out() adds the context's text where a trainer wants it.
 
 Template, for each turn: <|im_start|>ROLE newline TEXT <|im_end|> newline. Inside roles and texts a backslash is doubled
 and "<|" becomes "<\\|" (in roles a newline also gets a backslash), so no text can forge a control string, and one
@@ -63,48 +64,63 @@ def format_conversations(turns: DataFrame, target: str = TARGET) -> DataFrame:
 
 
 def explode_examples(formatted: DataFrame) -> DataFrame:
-    """One row for each assistant turn: conv_id, example (from 1), turn, context, reply (both as formatted)."""
-    rows = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("at", "e"))
-    return rows.select(
-        "conv_id", (F.col("at") + 1).alias("example"), F.col("e.turn").alias("turn"),
-        F.expr("substring(formatted, 1, cast(e.loss_start as int))").alias("context"),
-        F.expr("substring(formatted, cast(e.loss_start as int) + 1, cast(e.loss_end - e.loss_start as int))").alias("reply"),
-    )
+    """One row for each assistant turn: conv_id, the columns of `formatted` but for the examples, example (from 1), turn,
+    loss_start and loss_end (the mask, in code points of the formatted string; all before it is the context) and
+    reply, the formatted text under the mask. A conversation without an assistant turn has one row with example null.
+
+    Replies are cut out of the pieces between the end marks, so a conversation is walked through once, not once a reply.
+    """
+    kept = [c for c in formatted.columns if c != "examples"]
+    rows = formatted.select(*kept, "examples", F.split("formatted", r"<\|im_end\|>\n").alias("_pieces"))
+
+    def one(e: Column) -> Column:
+        at = (e["loss_start"] - e["turn_start"]).cast("int") + 1
+        reply = F.substring(F.get("_pieces", e["pos"] - 1), at, (e["loss_end"] - e["loss_start"]).cast("int"))
+        return F.struct(e["turn"].alias("turn"), e["loss_start"].alias("loss_start"), e["loss_end"].alias("loss_end"), reply.alias("reply"))
+
+    found = rows.select(*kept, F.posexplode_outer(F.transform("examples", one)).alias("_at", "_e"))
+    return found.select(*kept, (F.col("_at") + 1).alias("example"), "_e.turn", "_e.loss_start", "_e.loss_end", "_e.reply")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns: array<struct<role, text>>, targets: array<string> (the unescaped text under each example's mask)."""
+def spell_out(examples: DataFrame) -> DataFrame:
+    """Rows of explode_examples() with the context as text; without conversations that have no example."""
+    return examples.where("example IS NOT NULL").withColumn("context", F.expr("substring(formatted, 1, cast(loss_start as int))"))
+
+
+def read_turns(formatted: Column) -> Column:
+    """array<struct<role, text>> of a formatted string."""
     head = r"(?s)^([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n"
-    pieces = F.split("formatted", r"<\|im_end\|>\n")
-    rows = formatted.select("conv_id", "formatted", "examples", F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("pieces"))
-    skip = len(START)
+    pieces = F.split(formatted, r"<\|im_end\|>\n")
 
     def turn(piece: Column) -> Column:
-        rest = F.substring(piece, F.lit(skip + 1), F.length(piece))
+        rest = F.substring(piece, F.lit(len(START) + 1), F.length(piece))
         role = F.regexp_extract(rest, head, 1)
         return F.struct(unescape(role).alias("role"), unescape(F.substring(rest, F.length(role) + 2, F.length(rest))).alias("text"))
 
-    def reply(e: Column) -> Column:
-        at = (e["loss_start"] - e["turn_start"]).cast("int") + 1
-        return unescape(F.substring(F.get("pieces", e["pos"] - 1), at, (e["loss_end"] - e["loss_start"]).cast("int")))
-
-    return rows.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.transform("examples", reply).alias("targets"))
+    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
 
 def op9_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats all conversations and conversation -1, reads the output back and returns its digests."""
+    """Formats all conversations and conversation -1, expands them into examples and returns digests of what those say:
+    the loss columns come from the examples' rows, the turns from the formatted string."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(forged).alias("text"),
     )
-    back = read_back(format_conversations(given.unionByName(extra)))
+    turns = read_turns(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        total(F.transform("targets", lambda t: F.length(t).cast("long"))).alias("loss_chars"),
-        F.sha2(F.array_join("targets", ""), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    made = format_conversations(given.unionByName(extra)).withColumn("turns", turns)
+    made = made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "examples")
+    # the examples of a conversation lie where the conversation was made: grouping them by it moves nothing
+    of_conversation = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    examples = explode_examples(made).select(*of_conversation, "example", unescape(F.col("reply")).alias("reply"))
+    whole = examples.groupBy(*of_conversation).agg(F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "reply")))).alias("r"))
+    replies = F.transform("r", lambda x: x["reply"])
+    return whole.select(
+        "conv_id", "n_turns", "turns_sha256", total(F.transform(replies, lambda t: F.length(t).cast("long"))).alias("loss_chars"),
+        F.sha2(F.array_join(replies, ""), 256).alias("loss_sha256"), "formatted_chars",
     )
 
 
