@@ -260,15 +260,40 @@ def test_ring_equals_walk(spark):
     assert {i: (s, k) for i, s, k in zip(found.doc_id, found["shard"], found.slot, strict=True)} == want
 
 
-def test_ring_awkward(spark):
+def test_ring_awkward(spark, monkeypatch):
+    monkeypatch.setattr(ring, "COPIES", 4)
     rows = spark.createDataFrame([(1, 5, 7)] * 30 + [(None, 5, 7)] * 3 + [(2, 9, 9)], "doc_id long, size long, text_crc32 long")
     found = ring.assign(rows, shards=4, vnodes=8).collect()
     sizes = Counter(r.shard for r in found)
     assert len(found) == 34 and max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(r.slot for r in found if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == {(1, 5, 7): 30, (None, 5, 7): 3, (2, 9, 9): 1}
     assert ring.assign(rows.where("false"), shards=4, vnodes=8).count() == 0
 
 
+def test_ring_spreads_rows_without_an_id_of_their_own(spark):
+    """Half of the rows have no id and a quarter share one: no task gets more than a few arcs' rows."""
+    n = 20_000
+    rows = spark.range(n).select(F.expr("CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN 7 ELSE id END").alias("doc_id"), F.lit(20).cast("long").alias("size"), F.crc32(F.col("id").cast("string")).alias("text_crc32"))
+    seen = []
+    keep, ring.written = ring.written, lambda df, what: seen.append((what, keep(df, what))) or seen[-1][1]
+    try:
+        found = ring.assign(rows).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    finally:
+        ring.written = keep
+    numbered = dict(seen)["ring-rows"]
+    assert numbered.groupBy("_arc").count().agg(F.max("count")).first()[0] < n / 100
+    assert len(found) == 40 and all(r.n == n // 40 == r.d == r.m + 1 for r in found)
+
+
+def test_ring_moves_few_rows(spark):
+    """One more shard takes about a 41st of the rows; few others move, as all shards stay full to the mean."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(20).cast("long").alias("size"), F.col("id").alias("text_crc32"))
+    before, after = (ring.assign(rows, shards=k).select("doc_id", F.col("shard").alias(f"s{k}")) for k in (40, 41))
+    both = before.join(after, "doc_id")
+    assert both.where("s41 = 40").count() / 20_000 < 0.026 and both.where("s40 <> s41 AND s41 <> 40").count() / 20_000 < 0.04
+
+
 # --- 8: rules -----------------------------------------------------------------------------------------------------
 
 

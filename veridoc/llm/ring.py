@@ -6,14 +6,18 @@ guaranteed while few rows leave their home shard.
 
 Only counts of rows on each arc matter to that walk, so it runs over one table of shards * VNODES arcs (a proven bound)
 as a single SQL expression. First come first served means that the walk cuts the rows, numbered clockwise, into runs:
-a row's shard and slot follow from its number. Numbers come from the arcs' counts and a row_number() within each arc,
-so no task sees more than about one arc in shards * VNODES of the rows; hashing doc_id (not the text) keeps a group of
-equal texts, however large, spread over the ring. Only ids and sizes are shuffled, never texts.
+a row's shard and slot follow from its number. Numbers come from the arcs' counts and a running sum within each arc.
+
+A row's place is the hash of its doc_id; where the table gives an id to more than one text (or to none: null), its rows
+after the first text are placed by id and checksum together, so neither an id nor a group of equal texts, however large,
+crowds an arc, and no task sees more than about one arc in shards * VNODES of the different rows. Rows that are
+alike in all of id, checksum and size are one row with a count until their numbers are spelled out, in portions of
+COPIES that other tasks take. Only ids and sizes are shuffled, never texts.
 
 Law: `rows` - with capacities of the rounded mean, shard counts differ by at most one.
 
-Defined cases: a null text has 0 bytes; a null doc_id hashes as -1; repeated rows have places of their own, ordered by
-doc_id, checksum and size; an empty table gives no rows; other columns are ignored. Hashes take 60 bits of MD5.
+Defined cases: a null text has 0 bytes; a null doc_id is an id, that hashes as -1; repeated rows have slots of their own;
+an empty table gives no rows; other columns are ignored. Hashes take 60 bits of MD5.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ SHARDS = 40
 VNODES = 128
 OVERHEAD = 16
 RING = 1 << 60
+COPIES = 1_000_000  # equal rows that one task numbers
 
 
 def place(key: Column) -> Column:
@@ -91,17 +96,25 @@ def walk(arcs: DataFrame, shards: int) -> DataFrame:
 def assign(rows: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
     """rows (doc_id, size, text_crc32) with shard and slot.
 
-    One pass numbers rows within arcs and is written down (three longs and a place a row); the arcs' counts come from it.
+    One pass numbers rows within arcs and is written down (a few longs a row); the arcs' counts come from it.
     """
     spark = rows.sparkSession
     nodes = points(spark, shards, vnodes)
     ring = nodes.agg(F.sort_array(F.collect_list("high")).alias("_highs"))  # one row of shards * vnodes + 1 longs
-    at = place(F.coalesce(F.col("doc_id").cast("string"), F.lit("-1")))
-    placed = rows.select("doc_id", "size", "text_crc32", at.alias("_at")).join(F.broadcast(ring))
-    placed = placed.select("doc_id", "size", "text_crc32", "_at", arc_of(F.col("_at"), F.col("_highs")).alias("_arc"))
-    within = Window.partitionBy("_arc").orderBy("_at", "doc_id", "text_crc32", "size")
-    numbered = written(placed.withColumn("_k", F.row_number().over(within) - 1).drop("_at"), "ring-rows")
-    counted = numbered.groupBy("_arc").agg(F.count(F.lit(1)).alias("n"))
+    # equal rows become one with a count where they are read; the smallest checksum of an id has the id's own place
+    alike = rows.groupBy("doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("_n"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-1"))
+    own = place(name)
+    first = alike.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_texts"), F.min(F.struct("text_crc32", "size")).alias("_first")).where("_texts > 1").select("doc_id", "_first")
+    first = first.withColumnRenamed("doc_id", "_id")
+    known = alike.join(first, alike["doc_id"].eqNullSafe(first["_id"]), "left")
+    later = F.col("_first").isNotNull() & (F.struct("text_crc32", "size") != F.col("_first"))
+    at = F.when(later, place(F.concat_ws(":", name, F.col("text_crc32").cast("string"), F.col("size").cast("string")))).otherwise(own)
+    placed = known.select("doc_id", "size", "text_crc32", "_n", at.alias("_at")).join(F.broadcast(ring))
+    placed = placed.select("doc_id", "size", "text_crc32", "_n", "_at", arc_of(F.col("_at"), F.col("_highs")).alias("_arc"))
+    within = Window.partitionBy("_arc").orderBy("_at", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = written(placed.withColumn("_k", F.sum("_n").over(within) - F.col("_n")).drop("_at"), "ring-rows")
+    counted = numbered.groupBy("_arc").agg(F.sum("_n").alias("n"))
     arcs = nodes.join(F.broadcast(counted), F.col("arc") == F.col("_arc"), "left").select("arc", "shard", F.coalesce("n", F.lit(0)).alias("n"))
     arcs = arcs.agg(F.sort_array(F.collect_list(F.struct("arc", "shard", "n"))).alias("a")).select(
         F.explode(
@@ -115,12 +128,22 @@ def assign(rows: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
     runs = walk(arcs, shards).agg(F.sort_array(F.collect_list(F.struct("run_end", "run_start", "shard", "slot_start"))).alias("_runs"))
     runs = runs.withColumn("_ends", F.transform("_runs", lambda r: r["run_end"]))
     known = numbered.join(F.broadcast(arcs.select(F.col("arc").alias("_arc"), "before")), "_arc").join(F.broadcast(runs))
-    number = F.col("before") + F.col("_k")
-    run = F.get("_runs", arc_of(number + 1, F.col("_ends")))
-    found = known.select("doc_id", "size", "text_crc32", number.alias("_number"), run.alias("_run"))
+    found = spelled_out(known.withColumn("_number", F.col("before") + F.col("_k")))
+    run = F.get("_runs", arc_of(F.col("_number") + 1, F.col("_ends")))
+    found = found.select("doc_id", "size", "text_crc32", "_number", run.alias("_run"))
     return found.select("doc_id", "size", "text_crc32", F.col("_run.shard").alias("shard"), (F.col("_number") - F.col("_run.run_start") + F.col("_run.slot_start")).alias("slot"))
 
 
+def spelled_out(rows: DataFrame) -> DataFrame:
+    """Each row _n times, numbered from _number on; portions of COPIES are dealt out."""
+    portions = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))
+    few = rows.where(f"_n <= {COPIES}").withColumn("_portion", F.lit(0).cast("long"))
+    many = rows.where(f"_n > {COPIES}").withColumn("_portion", portions).repartition("_number", "_portion")
+    start = F.col("_portion") * COPIES
+    copies = F.explode(F.sequence(start, F.least(start + COPIES, F.col("_n")) - 1))
+    return few.unionByName(many).withColumn("_copy", copies).withColumn("_number", F.col("_number") + F.col("_copy"))
+
+
 def op7_ring_bounded_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on shards 0 to 39."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
