@@ -238,6 +238,53 @@ def test_url_lists(spark):
     assert day is not None
 
 
+def url_verdicts(captures, entries):
+    """Every capture against every entry, by another way of reading URLs."""
+    from datetime import date
+    from urllib.parse import urlsplit
+
+    def parts(text):
+        u = urlsplit(text)
+        host = (u.netloc.rpartition("@")[2].lower() + "]").split("]")[0] + "]" if "[" in u.netloc else u.netloc.rpartition("@")[2].lower().partition(":")[0]
+        return host.strip("."), u.path.rstrip("/")
+
+    log = defaultdict(set)
+    for name, pattern, day, action in entries:
+        if pattern is not None and day is not None:
+            plain = pattern if "://" in pattern else f"x://{pattern}"
+            host, path = parts(plain.replace("://*.", "://"))
+            if host:
+                log[name, host, path].add((date.fromisoformat(day), action != "remove", action))
+    out = []
+    for page, url, day in captures:
+        hits = []
+        host, path = parts(url) if url and "://" in url else ("", "")
+        numeric = host.startswith("[") or all(x.isdigit() for x in host.split("."))
+        for (name, h, p), events in log.items():
+            if not host or day is None or not (host == h or not p and not numeric and host.endswith("." + h)) or not (not p or path == p or path.startswith(p + "/")):
+                continue
+            now = [e for e in sorted(events) if e[0] <= date.fromisoformat(day)]
+            if now and now[-1][2] == "add":
+                hits.append((len(h + p), h + p, name))
+        out.append((page, url, day, len(hits), ",".join(sorted({x[2] for x in hits})), max(hits)[1] if hits else None))
+    return out
+
+
+def test_url_lists_equal_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["a.com", "www.A.com", "b.a.com.", "ba.com", "9.1.2.3", "2.3", "1.9.1.2.3", "[::1]", "x.Co.uk", "user:pw@a.com:8080", "com", "a"]
+    paths = ["", "/", "/Bad", "/bad", "/bad/x", "/Bad/x/", "/bad/x/y?q=1", "/b%20d#f", "/badly", "//bad", "?x=/bad"]
+    day = lambda: f"2024-01-{rng.randint(1, 28):02d}"
+    captures = [(i, f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(paths)}", day()) for i in range(400)]
+    captures += [(None, "http://a.com/bad", day()), (1, None, day()), (2, "http://a.com/", None), (3, "no url", day()), (4, "http:///path", day()), (5, "", day())] + captures[:20]
+    entries = [(rng.choice("lm"), rng.choice(["", "", "", "http://", "*."]) + rng.choice(hosts) + rng.choice(paths[:9]), day(), rng.choice(["add", "add", "remove"])) for _ in range(150)]
+    entries += [("l", None, day(), "add"), ("l", "a.com", None, "add"), ("l", "", day(), "add"), ("l", "/bad", day(), "add")] + entries[:10]
+    c = spark.createDataFrame(captures, "page_id int, url string, day string").select("page_id", "url", F.col("day").cast("date").alias("fetched"), F.lit(1).alias("host"))
+    e = spark.createDataFrame(entries, "list string, pattern string, day string, action string").withColumn("day", F.col("day").cast("date"))
+    got = Counter((r.page_id, r.url, r.fetched and str(r.fetched), r.n_active, r.lists, r.longest) for r in urls.judge(c, e).collect())
+    assert got == Counter(url_verdicts(captures, entries)) and sum(n for k, n in got.items() if k[3]) > 100
+
+
 # --- 7: ring ------------------------------------------------------------------------------------------------------
 
 
