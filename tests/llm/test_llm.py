@@ -210,6 +210,38 @@ def test_ann_recall(spark):
     assert hits / total >= 0.95
 
 
+def test_ann_recall_over_blocks(spark, monkeypatch):
+    """Five blocks: the queries meet all of them, each vector is in one."""
+    monkeypatch.setattr(qalsh, "BLOCK", 400)
+    test_ann_recall(spark)
+
+
+def test_ann_verifies_few():
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    index, asked = qalsh.Index(ids, v), np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        index.search(v[q], int(ids[q]))
+    assert index.verified / len(asked) / len(ids) < 0.06
+
+
+def test_ann_repeated_rows(spark):
+    """A third of the rows are one vector under one id; another third is one vector under many ids."""
+    rng = np.random.default_rng(3)
+    rows = [(5, [1.0, 2.0, 3.0])] * 300 + [(1000 + i, [3.0, 2.0, 1.0]) for i in range(300)] + [(2000 + i, [float(x) for x in rng.standard_normal(3)]) for i in range(300)] + [(0, [1.0, 2.0, 3.5])]
+    vectors = qalsh.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = qalsh.search(vectors, vectors.where("vec_id IN (0, 1000, 2000)").distinct()).orderBy("query_id", "rank").collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[0] == [(5, 0.5)] * 10 and got[1000] == [(1001 + i, 0.0) for i in range(10)]
+    x = np.array(rows[600][1])
+    brute = sorted((float(np.sqrt(((np.array(v) - x) ** 2).sum())), i) for i, v in rows if i != 2000)[:10]
+    assert len(got[2000]) == 10 and got[2000][0] == (brute[0][1], pytest.approx(brute[0][0]))
+
+
 def test_ann_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, [inf, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [2.0, 0.0]), (200, [1e9, 1e9])]

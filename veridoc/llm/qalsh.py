@@ -1,19 +1,26 @@
 """Approximate nearest neighbours by collision counting with query-centred windows.
 
-Every vector is projected on M random directions; each projection is one sorted array. A query looks at windows centred
-on its own projections. Virtual rehashing widens the windows step by step, from radius R to GROWTH * R, and only the
-newly covered parts of the arrays are counted. A vector that falls into at least THRESHOLD of the M windows is verified
-with its exact distance. The search ends when K verified vectors lie within R: a vector at distance R or less is in each
-window with probability p = 2 Phi(W / 2) - 1, so in THRESHOLD of M windows nearly always. There is no cap on candidates;
-if it has to, the search goes on until the windows cover all vectors, which makes it exact.
-
-Vectors are dealt by a hash of their id into blocks of about BLOCK rows, each with arrays of its own, and the query set
-meets every block in portions of at most QUERIES. A task holds one block and one portion, whatever the table's size.
+Every vector is projected on LINES directions or more, the axes of random rotations; each projection is one sorted array.
+A query looks at windows centred on its own projections, WIDTH * R / sqrt(d) to each side at radius R. Virtual rehashing
+widens the windows step by step, from radius R to GROWTH * R, and only the newly covered parts of the arrays are counted.
+A vector that falls into at least SHARE of the windows is verified with its exact distance. The search ends when K
+verified vectors lie within R. There is no cap on candidates; if it has to, the search goes on until the windows cover
+all vectors, which makes it exact.
+
+The axes of a rotation share a vector's length among them, so what a vector has more on one axis it has less on others:
+counts over whole rotations vary much less than over independent directions. With three rotations of the test tables'
+64 dimensions, 5 % of 2,000 vectors and 1.4 % of 10,000 are verified, for a recall of 0.97 (40 independent directions: 70 %).
+
+Vectors are dealt by a hash into blocks of about BLOCK rows. A block lies in one task, which builds its arrays once; then
+the queries stream past it, sorted behind the block's vectors. So a vector moves once, whatever the number of queries,
+a query once to each block, and a task holds one block and one batch of queries, whatever the table's size. Each block
+gives a query its K nearest found, and the K best of those are the result.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
-different lengths never meet; rows that repeat an id are candidates each, but an id asks once (its smallest vector); a
-query's own id is no candidate; distances tie by the smaller id; fewer than K candidates are all returned; an empty
-table gives no rows; a null id is a candidate, but no query; other columns are ignored.
+different lengths never meet; rows that repeat an id are candidates each (equal rows are one row with a count until then,
+so no block is crowded by them), but an id asks once (its smallest vector); a query's own id is no candidate; distances
+tie by the smaller id; fewer than K candidates are all returned; an empty table gives no rows; a null id is a candidate,
+but no query; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,36 +32,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.shipping import ship
-from veridoc.llm.shared import table, written
+from veridoc.llm.shared import map_arrow, table, written
 
-M, THRESHOLD, W, GROWTH = 40, 29, 2.719, 1.25
-BLOCK, QUERIES = 16_384, 4_096
+LINES, SHARE, WIDTH, GROWTH = 192, 0.85, 1.5, 1.1
+BLOCK = 65_536
 K, STEP = 10, 100
 SEED = 7
 OUT = "query_id long, vec_id long, score double"
+NO_ID = np.iinfo(np.int64).max
+
+
+def directions(width: int, seed: int = SEED) -> np.ndarray:
+    """The axes of as many random rotations as LINES takes; of a space with more than LINES axes, that many of one."""
+    rng = np.random.default_rng(seed)
+    axes = [np.linalg.qr(rng.standard_normal((width, width)))[0] for _ in range(-(-LINES // width))]
+    return np.concatenate(axes, axis=1)[:, : LINES if width > LINES else None]
 
 
 class Index:
-    """Sorted projections of a block of vectors."""
+    """Sorted projections of a block of vectors; row k stands for copies[k] equal ones."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = SEED):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None, seed: int = SEED):
         self.ids, self.vectors = ids, vectors
-        self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], M))
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies
+        self.lines = directions(vectors.shape[1], seed)
         at = vectors @ self.lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
         lines = np.take_along_axis(at, self.order.T, axis=0).T
         # one array for all lines, each moved to a range of its own, so that one search finds all windows
         self.reach = float(np.abs(lines).max()) + 1
         self.far = 8 * self.reach
-        self.sorted = (lines + np.arange(M)[:, None] * self.far).ravel()
-        self.start = max(float(np.median(lines[:, -1] - lines[:, 0])) / 32, np.finfo(float).tiny)
+        self.base = np.arange(len(lines))
+        self.sorted = (lines + self.base[:, None] * self.far).ravel()
+        self.half = WIDTH / vectors.shape[1] ** 0.5
+        self.start = max(float(np.median(lines[:, -1] - lines[:, 0])) / 32, np.finfo(float).tiny) / self.half
+        self.threshold = int(SHARE * len(lines))
+        self.verified = 0
 
     def windows(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
         """First and last place, exclusive, of each line's window."""
-        half, size = min(half, 3 * self.reach), len(self.ids)  # from any centre that covers the line
-        at, base = np.clip(centre, -2 * self.reach, 2 * self.reach) + np.arange(M) * self.far, np.arange(M) * size
-        return np.searchsorted(self.sorted, at - half, "left") - base, np.searchsorted(self.sorted, at + half, "right") - base
+        half = min(half, 3 * self.reach)  # from any centre that covers the line
+        at, first = np.clip(centre, -2 * self.reach, 2 * self.reach) + self.base * self.far, self.base * len(self.ids)
+        return np.searchsorted(self.sorted, at - half, "left") - first, np.searchsorted(self.sorted, at + half, "right") - first
 
     def search(self, query: np.ndarray, own: int | None, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, nearest first, without vectors of the id `own`."""
@@ -62,19 +81,18 @@ class Index:
         centre = query @ self.lines
         low, high = self.windows(centre, 0.0)
         high = low
-        hits, known = np.zeros(size, np.uint8), np.zeros(size, bool)
+        hits, known = np.zeros(size, np.int64), np.zeros(size, bool)
         if own is not None:
             known |= self.ids == own
         others = size - int(known.sum())
         rows, scores = np.empty(0, np.int64), np.empty(0)
         radius = self.start
         while len(rows) < others:
-            left, right = self.windows(centre, radius * W / 2)
-            for i in range(M):
-                hits[self.order[i, left[i] : low[i]]] += 1
-                hits[self.order[i, high[i] : right[i]]] += 1
+            left, right = self.windows(centre, radius * self.half)
+            new = [part for i, line in enumerate(self.order) for part in (line[left[i] : low[i]], line[high[i] : right[i]])]
+            hits += np.bincount(np.concatenate(new), minlength=size)
             low, high = left, right
-            new = np.flatnonzero((hits >= THRESHOLD) & ~known)
+            new = np.flatnonzero((hits >= self.threshold) & ~known)
             if len(new):
                 known[new] = True
                 scores = np.concatenate([scores, np.sqrt(np.square(self.vectors[new] - query).sum(axis=1))])
@@ -83,8 +101,10 @@ class Index:
             if bound <= radius:
                 break
             radius = min(radius * GROWTH, bound)
+        self.verified += len(rows)
         best = np.lexsort((self.ids[rows], scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        many = self.copies[rows[best]]
+        return np.repeat(self.ids[rows[best]], many)[:k], np.repeat(scores[best], many)[:k]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -95,35 +115,52 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     return rows.where("v IS NOT NULL").where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
+def _part(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (NO_ID: null), vectors and copies of rows of one length."""
+    raw = batch.column("vec_id")
+    ids = raw.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return ids, batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), batch.column("copies").to_numpy(zero_copy_only=False)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """A batch's rows by length and block, vectors and queries apart, in order."""
+    d, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "block", "asks"))
+    ends = np.flatnonzero((np.diff(d) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
+    for a, b in zip([0, *ends], [*ends, len(d)], strict=True):
+        yield (d[a], block[a]), bool(asks[a]), batch.slice(a, b - a)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs (vec_id, v) as from usable()."""
-    sizes = vectors.agg(F.count(F.lit(1)).alias("n")).first().n, queries.agg(F.count(F.lit(1)).alias("n")).first().n
-    blocks, portions = (max(1, -(-n // most)) for n, most in zip(sizes, (BLOCK, QUERIES), strict=True))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    hashed = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    data = vectors.select("vec_id", "v", F.size("v").alias("d"), hashed(blocks, 1).alias("block"), each(portions).alias("portion"), F.lit(False).alias("asks"))
-    asked = queries.select("vec_id", "v", F.size("v").alias("d"), each(blocks).alias("block"), hashed(portions, 2).alias("portion"), F.lit(True).alias("asks"))
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        raw = group.column("vec_id").combine_chunks()
-        lost = raw.is_null().to_numpy(zero_copy_only=False)
-        ids = raw.fill_null(0).to_numpy(zero_copy_only=False)
-        flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        v = flat.reshape(len(ids), -1)
-        out: list[tuple] = []
-        if asks.any() and not asks.all():
-            names = np.where(lost, np.iinfo(np.int64).max, ids)[~asks]
-            index = Index(names, v[~asks])
-            for q, x in zip(ids[asks], v[asks], strict=True):
-                found, scores = index.search(x, int(q), k)
-                out.append((np.full(len(found), q), found, scores))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
-        named = pa.array(columns[1].astype(np.int64), mask=columns[1] == np.iinfo(np.int64).max)
-        return pa.Table.from_arrays([pa.array(columns[0].astype(np.int64)), named, pa.array(columns[2].astype(float))], names=["query_id", "vec_id", "score"])
-
-    ship(vectors.sparkSession)
-    found = data.unionByName(asked).groupBy("d", "block", "portion").applyInArrow(run, OUT)
+    blocks = max(1, -(-vectors.agg(F.count(F.lit(1)).alias("n")).first().n // BLOCK))
+    data = vectors.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("long").alias("copies"))
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    data = data.select("vec_id", "v", "copies", F.size("v").alias("d"), block.alias("block"), F.lit(False).alias("asks"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = queries.select("vec_id", "v", F.lit(1).cast("long").alias("copies"), F.size("v").alias("d"), each.alias("block"), F.lit(True).alias("asks"))
+    dealt = data.unionByName(asked).repartition(blocks, "d", "block").sortWithinPartitions("d", "block", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index = None, [], None
+        for batch in batches:
+            for key, asks, part in _runs(batch) if batch.num_rows else ():
+                if key != at:
+                    at, held, index = key, [], None
+                if not asks:
+                    held.append(_part(part))
+                    continue
+                if index is None and held:
+                    index, held = Index(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if index is None:
+                    continue  # the block has no vectors
+                out = []
+                for q, x in zip(*_part(part)[:2], strict=True):
+                    found, scores = index.search(x, int(q), k)
+                    out.append((np.full(len(found), q), found, scores))
+                asker, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(found, mask=found == NO_ID), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    found = map_arrow(dealt, run, OUT)
     nearest = Window.partitionBy("query_id").orderBy("score", F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
