@@ -512,6 +512,42 @@ def test_classes_equal_brute_force(spark):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in got.collect()) == brute_classes(rows)
 
 
+def look_alikes(rng, n, shared, own, twins):
+    """n texts of `shared` common words and `own` of their own, some with a twin that differs in one word."""
+    base = [f"base{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        text = base + [f"own{i}x{k}" for k in range(own)]
+        rows.append(" ".join(text))
+        if i < twins:
+            text[rng.randrange(len(text))] = "changed"
+            rows.append(" ".join(text))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("wide", [16, 4096])
+def test_classes_in_large_buckets_equal_brute_force(spark, monkeypatch, wide):
+    """Look-alikes at 0.6 fill buckets of several blocks; only their twins are linked."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    rows = look_alikes(random.Random(9), 90, 75, 25, 30)
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == brute_classes(rows)
+    assert Counter(r.class_size for r in got) == {1: 60, 2: 60} and all((r.n_links > 0) == (r.class_size > 1) for r in got)
+
+
+def test_look_alikes_send_few_to_the_comparison(spark):
+    """Of a bucket of look-alikes at 0.6, all of them beyond one block, only the twins are near by their sketches."""
+    rows = look_alikes(random.Random(9), 1500, 75, 25, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = minhash.sketches(docs).checkpoint()
+    entries = known.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("comp"))
+    near = {r.node for r in minhash.near_entries(entries, minhash.weighted_sets(docs, known)).collect()}
+    twins = {r.node for r in known.collect() if any(0 < len(set(a.split()) ^ set(rows[r.doc_id][1].split())) <= 2 for _, a in rows)}
+    assert twins <= near and len(near) <= len(twins) + 5
+
+
 def test_deduplicated_awkward(spark, awkward, empty):
     found = minhash.deduplicated(awkward).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in found) == sorted([("1", "a b c d e f g"), ("2", ""), ("4", LONG), ("None", "null id text here"), ("5", "x"), ("1", "other text of the same id")])

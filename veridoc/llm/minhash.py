@@ -12,14 +12,23 @@ the threshold of 0.8 a pair is missed with probability (1 - 0.8 ** 6) ** 32 = 6e
 verified exactly from the two documents' shingles.
 
 Equal word sequences are one node, whatever their number, so copies cost nothing beyond the sketch. Classes are the
-connected components of the links. Buckets are never expanded into all pairs: first each bucket tests its smallest node,
-the pivot, with the others, which settles groups of close copies. Where nodes of a bucket are still unconnected, those
-but the pivot are compared in blocks of at most BLOCK nodes, vectorised, by one byte of each register; pairs that could
-reach the threshold (5 standard deviations below it) are compared by their shingles, best first, unless the block has
-connected them by then, each pair only in the first bucket it shares. Only links leave a block. No pair is left out: it was tested, or its nodes were connected already.
+connected components of the links. Buckets are never expanded into all pairs. First each bucket tests its smallest node,
+the pivot, with the others, which settles groups of close copies. Of the nodes still unconnected in buckets of more than
+BLOCK, those are kept that are near a node of another component by a longer sketch of BITS registers, one bit each,
+compared in blocks of WIDE (a pair of blocks yields nodes, not pairs); so a bucket of many texts that look alike but are
+below the threshold moves 256 bytes a node once for each WIDE nodes, and no text. What is left is compared in blocks of at
+most BLOCK nodes, vectorised, by a byte of each register and then by shingles, best first, unless the block has connected
+a pair by then, each pair only in the first bucket it shares. Only links leave a block.
+
+"Near" is an estimate of at least NEAR or NEAR_BITS, both 5 standard deviations below the threshold: of pairs at exactly 0.8
+each loses 1e-6 (binomial), a fiftieth of what the banding loses; above 0.8, less. Every other pair was tested, or its
+nodes were connected already. Texts in one large bucket that are alike by 0.73 to 0.8, yet not linked, are compared by their
+shingles: quadratic work in such a bucket, in blocks, without emitting pairs.
 
 Words are runs of characters other than ASCII white space. Texts are shuffled only for nodes that share a bucket.
 
+The intermediate tables are removed as soon as the components are known.
+
 Defined cases: texts of fewer than five words have one shingle of all their words; texts without words (null, empty) are
 copies of each other; a null doc_id is a document as any other, and a class's id is the smallest that is not null;
 repeated rows are copies; an empty table gives an empty result; other columns are ignored by classes() and kept by
@@ -40,12 +49,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.shipping import ship
-from veridoc.llm.shared import map_arrow, table, written
+from veridoc.llm.shared import drop_written, map_arrow, table, written, written_so_far
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
-BLOCK = 512  # nodes of a bucket compared in one task with as many others
+BLOCK = 512  # nodes of a bucket compared in one task with as many others, by shingles
+WIDE, BITS = 4096, 2048  # the same by sketches alone, and the registers of those
 NEAR = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+NEAR_BITS = THRESHOLD - 10 * ((1 + THRESHOLD) / 2 * (1 - THRESHOLD) / 2 / BITS) ** 0.5  # bits agree by chance half the time
 BATCH = 128  # texts sketched together
 CHARS = 1 << 20  # or as many characters
 WORD_CACHE = 500_000
@@ -227,6 +238,7 @@ def components(links: DataFrame) -> DataFrame:
 
     A star's hub is a key of a join only, so hubs with very many neighbours can be split. Each round is written down.
     """
+    spark, mark = links.sparkSession, written_so_far()
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     told = None
     while True:
@@ -236,6 +248,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "links")
+        drop_written(spark, mark, keep=edges)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == told or not now[0]:
             break
@@ -276,13 +289,76 @@ def _block_links(key: int, within: bool, side: np.ndarray, comp: np.ndarray, min
     return links
 
 
+def _live(entries: DataFrame) -> DataFrame:
+    """The entries (key, node, comp) of buckets that hold more than one component, with n, the bucket's nodes."""
+    live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    return entries.join(live.select("key", "n"), "key")
+
+
+def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (key, node, n, ..) once for each pair of blocks of their bucket: adds block, first and second."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"first": F.least("block", "_other"), "second": F.greatest("block", "_other")}).drop("_other", "n")
+
+
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """node, bits: one bit of each of BITS registers, for sets (node, hashes, weights)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                given = [(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.int32)) for h, w in zip(part.column("hashes"), part.column("weights"), strict=True)]
+                bits = np.packbits((sketch(given, BITS) & _U(1)).astype(bool), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "bits"])
+
+    return map_arrow(sets.select("node", "hashes", "weights"), run, "node binary, bits binary")
+
+
+def _near_rows(within: bool, side: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows are near, by sketches, a row of another component (and of the other block, unless within one)."""
+    found = np.zeros(len(comp), bool)
+    left = np.arange(len(comp)) if within else np.flatnonzero(side == side.min())
+    right = left if within else np.flatnonzero(side != side.min())
+    most = (1 - NEAR_BITS) / 2 * bits.shape[1] * 64  # bits that differ
+    columns = np.ascontiguousarray(bits[right])
+    for k, i in enumerate(left):
+        start = k + 1 if within else 0
+        others = right[start:]
+        hit = (np.bitwise_count(columns[start:] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most) & (comp[others] != comp[i])
+        if hit.any():
+            found[i] = True
+            found[others[hit]] = True
+    return found
+
+
+def near_entries(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of entries (key, node, comp) those of nodes that are near a node of another component in the same bucket, by
+    sketches alone; sets: node, hashes, weights."""
+    live = written(_live(entries), "large-buckets")
+    bits = written(bit_sketches(sets.join(live.select("node").distinct(), "node")), "bits")
+    rows = _in_blocks(live, WIDE).join(bits, "node").select("key", "node", "comp", "bits", "block", "first", "second")
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes, keys = t.column("node").combine_chunks(), t.column("key").combine_chunks()
+        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(nodes), -1)
+        within = t.column("first")[0] == t.column("second")[0]
+        found = pa.array(_near_rows(within, t.column("block").to_numpy(), comp, bits))
+        return pa.table({"key": keys.filter(found), "node": nodes.filter(found)})
+
+    ship(entries.sparkSession)
+    near = rows.groupBy("key", "first", "second").applyInArrow(run, "key long, node binary").distinct()
+    return entries.join(near, ["key", "node"], "left_semi")
+
+
 def block_links(entries: DataFrame, payload: DataFrame) -> DataFrame:
     """a, b: links between components inside buckets. entries: key, node, comp; payload: node, mini, bands, hashes, weights."""
-    live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    live = live.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = entries.join(live, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "node", "comp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).join(payload, "node")
+    live = _live(entries)
+    few = live.where(F.col("n") <= BLOCK)
+    many = written(near_entries(live.where(F.col("n") > BLOCK).select("key", "node", "comp"), payload), "near")
+    rows = _in_blocks(few.unionByName(_live(many)), BLOCK).join(payload, "node")
 
     def run(t: pa.Table) -> pa.Table:
         column = {c: t.column(c).combine_chunks() for c in t.column_names}
@@ -303,7 +379,9 @@ def block_links(entries: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def node_components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
-    """node, comp for all nodes that have a link; None if there is none. known: sketches()."""
+    """node, comp, n_links (the verified links that decided its component) for all nodes that have a link; None if there
+    is none. known: sketches()."""
+    mark = written_so_far()
     # one document of each node; the struct's order makes the choice the same in every attempt
     nodes = known.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands", "mini")).alias("d"))
     nodes = written(nodes.select("node", "d.*"), "nodes")
@@ -323,22 +401,33 @@ def node_components(docs: DataFrame, known: DataFrame) -> DataFrame | None:
         rest = rest.join(written(components(links), "comps"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     payload = nodes.join(sets, "node").select("node", "mini", "bands", "hashes", "weights")
     links = links.unionByName(written(block_links(rest, payload), "block-links"))
-    return None if links.isEmpty() else written(components(links), "comps")
+    ended = None
+    if not links.isEmpty():
+        ends = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        ended = written(components(links).join(ends, "node"), "comps")
+    drop_written(docs.sparkSession, mark, keep=ended)
+    return ended
 
 
 def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, class_id (the smallest doc_id of the class) for each row of docs (doc_id, text)."""
+    """doc_id, text_hash, node, n_links, class_id (the smallest doc_id of the class), class_size, first (the row that
+    stands for the class) for each row of docs (doc_id, text)."""
     known = written(sketches(docs), "sketches")
     comps = node_components(docs, known)
     rows = known.select("doc_id", "text_hash", "node")
-    rows = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    none = F.lit(0).cast("long")
+    if comps is None:
+        rows = rows.withColumns({"comp": F.col("node"), "n_links": none})
+    else:
+        rows = rows.join(comps, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "n_links": F.coalesce("n_links", none)})
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(least, "comp")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size for each row."""
-    return memberships(docs).select("doc_id", "class_id", "class_size")
+    """doc_id, class_id, class_size, n_links for each row. n_links: with how many other word sequences the search verified
+    a link for the row's own before they were in one class; 0 if the class is copies of one sequence."""
+    return memberships(docs).select("doc_id", "class_id", "class_size", "n_links")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
