@@ -199,7 +199,7 @@ def test_layout_merges_runs_of_peaks(spark):
     m = L.measure(pages, rows).collect()[0]
     assert (m.header_y, m.footer_y, m.header_strings, m.column_count, m.sidebar_x) == (35.0, 787.0, ["HEAD"], 3, 612.0)
     read = E.pdf_ready(E.paragraphs(E.extract(pages, rows, L.measure(pages, rows)))).collect()[0]
-    assert read.pdf_ready == "t10\nt11\nt12\nt13\n\nt20\nt21\nt22\nt23"
+    assert read.pdf_ready == "t10 t11 t12 t13\n\nt20 t21 t22 t23"
 
 
 def test_layout_defaults_without_spans(spark):
@@ -244,3 +244,91 @@ def test_expiry(spark):
     rows = spark.createDataFrame([(1, "COMPLETE"), (2, "RUNNING")], "job_id int, status string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     found = jobs.with_expiry(rows, F.lit("2024-01-01 01:00:00").cast("timestamp")).orderBy("job_id").collect()
     assert [r.expired for r in found] == [True, False]
+
+
+def test_reaches_equals_partial_ratio():
+    rng = random.Random(3)
+    lexicon = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    for case in range(120):
+        b = " ".join(rng.choice(lexicon) for _ in range(rng.randint(60, 120)))
+        start = rng.randrange(len(b) // 2)
+        a = "".join(rng.choice("xyz") if rng.random() < rng.choice([0.0, 0.1, 0.2, 0.3]) else c for c in b[start : start + rng.randint(90, 200)]) if case % 4 else "".join(rng.choice("abcdefgxyz ") for _ in range(150))
+        exact = fuzzy.partial_ratio(a, b)
+        for score in (50, 70, 80, 90, 100):
+            assert fuzzy.reaches(a, b, score) == (exact >= score)
+
+
+def test_fidelity_report_on_awkward_pairs(spark):
+    from veridoc.operators import fidelity
+
+    sentence = "Dr. Smith’s team found that revenue reached Rs. 556.60 Crores in all of last year."
+    para = lambda text, k=1: (text, k, k, "FULL")
+    web = "Some words come first here to fill the page.  Dr. Smith's team found that revenue reached INR 556.60 Crores in all of year. And more words come after it, so many that windows fit."
+    rows = [
+        (1, "a.pdf", "https://x.org/", [para(sentence), para("A paragraph of its own that nobody has carried over to the page, 0123456789 9876543210.", 2)], web, [("First", web[:300], "h1:nth-of-type(1)")]),
+        (2, "b.pdf", None, None, None, None), (3, "c.pdf", "https://my-site.vercel.app", [para(None)], "", []), (4, None, "x", [para(sentence)], "", []), (5, "e.pdf", "https://e.org", [para(sentence)], f"{sentence} and so on, with a lot of other words that follow it to fill a window", []),
+    ]
+    schema = "pair_id long, pdf_source string, url string, paragraphs array<struct<text:string,page:int,para_index:int,column:string>>, web string, sections array<struct<section:string,text:string,selector:string>>"
+    got = {r.pair_id: r for r in fidelity.compare(spark.createDataFrame(rows, schema)).collect()}
+    first = got[1]
+    assert [(x.id, x.type) for x in first.issues] == [(f"issue_{k + 1:03d}", t) for k, t in enumerate(["extra_whitespace", "currency_mismatch", "missing_word", "missing_word", "missing_paragraph"])]
+    assert first.overall == "needs_fixing" and first.summary.must_fix == 4 and first.summary.minor == 1 and first.summary.missing_word_count == 2
+    assert [x.missing_tokens for x in first.issues if x.type == "missing_word"] == [["Rs."], ["last"]] and first.issues[0].space_count == 2
+    assert (first.issues[1].pdf_symbol, first.issues[1].web_symbol, first.issues[1].numeric_value, first.issues[1].unit, first.issues[1].web_location.section) == ("Rs.", "INR", "556.60", "Crores", "First")
+    assert first.issues[1].context_before.endswith("revenue reached ") and first.issues[1].context_after.startswith(" in all of year.")
+    assert first.issues[4].pdf_location.page == 2 and first.issues[4].title == "Entire section missing from website" and first.dropped_by_pass_two == []
+    assert [got[k].overall for k in (2, 3, 4, 5)] == ["all_clear", "all_clear", "needs_fixing", "all_clear"] and got[2].brand == "Unknown" and got[3].brand == "My Site"
+
+
+def test_confusables_cache(spark, tmp_path):
+    import os
+    import time
+
+    source, cache = tmp_path / "confusables.txt", str(tmp_path / "cache")
+    source.write_text("# head\n2019 ;\t0027 ;\tMA\t# x\n0410 ; 0041 ; MA\nbroken\n", encoding="utf-8")
+    both = {"’": "'", "А": "A"}
+    assert U.confusables(spark, str(tmp_path / "none"), cache) == {}
+    assert U.confusables(spark, str(source), cache) == both
+    source.write_text("0411 ; 0042 ; MA\n", encoding="utf-8")
+    assert U.confusables(spark, str(source), cache) == both  # fresh: the source is not looked at
+    later = time.time() + 31 * 86_400
+    assert U.confusables(spark, str(tmp_path / "none"), cache, now=later) == both  # stale, the source is away
+    assert U.confusables(spark, str(source), cache, now=later) == {"Б": "B"}
+    assert column(spark, ["Б’"], lambda c: X.prepare_for_comparison(c, {"Б": "B", "’": "'"})) == ["B'"] and os.path.isdir(cache)
+
+
+def test_sections(spark):
+    rows = spark.createDataFrame([([("A", "one two three", "h1"), ("B", "Two THREE four", "h2")],)], "s array<struct<section:string,text:string,selector:string>>")
+    of = lambda text: tuple(rows.select(W.section_for_text(F.lit(text), F.col("s")).alias("x")).first().x)
+    assert of("two three") == ("B", "h2") and of("one") == ("A", "h1") and of("five") == ("Unknown section", "body")
+    at = lambda web, k: rows.select(W.find_section(F.lit(k), F.lit(web), F.col("s")).alias("x")).first().x.section
+    assert at("two  three", 3) == "A" and at("three four", 0) == "B" and at(" " * 100, 50) == "A"
+
+
+def test_crop_edges(spark):
+    rows = spark.createDataFrame([(10.0, 30.0, 800.0), (790.0, 795.0, 800.0), (-5.0, 900.0, 800.0), (100.0, 400.0, 800.0)], "t double, b double, h double")
+    top, bottom = jobs.crop_edges(F.col("t"), F.col("b"), F.col("h"))
+    assert [tuple(r) for r in rows.select(top, bottom).collect()] == [(10.0, 60.0), (750.0, 800.0), (0.0, 800.0), (100.0, 400.0)]
+
+
+def test_job_runs(spark):
+    names = ["refused", "queue_error", "file_error", "extract_error", "page_error", "check_error"]
+    rows = [(k, *[("why" if n == name else None) for n in names], False, 3) for k, name in enumerate(names)] + [(6, *[None] * 6, True, 3), (7, *[None] * 6, False, 0), (8, *[None] * 6, False, 3), (9, *["why"] * 6, True, 0)]
+    given = spark.createDataFrame(rows, "job_id int, " + ", ".join(f"{n} string" for n in names) + ", no_text boolean, n_paragraphs int")
+    ran = jobs.run(given)
+    got = {r.job_id: r for r in ran.collect()}
+    assert [(got[k].status, got[k].error, len(got[k].states)) for k in range(10)] == [
+        ("REFUSED", "why", 0), ("FAILED", "QUEUE_ERROR: why", 2), ("FAILED", "why", 3), ("FAILED", "EXTRACTION_ERROR: why", 7), ("FAILED", "why", 9), ("FAILED", "UNEXPECTED_ERROR: why", 11),
+        ("FAILED", "NO_TEXT_LAYER", 3), ("FAILED", "EMPTY_OUTPUT: extraction produced no text", 7), ("COMPLETE", None, 12), ("REFUSED", "why", 0),
+    ]
+    assert [s.progress for s in got[8].states] == [0, 0, 5, 10, 15, 20, 40, 45, 70, 75, 90, 100]
+    assert tuple(jobs.run_counts(ran).first()) == (1, 7, 2)
+
+
+def test_upright_boxes(spark):
+    pages = spark.createDataFrame([(1, k, 100.0, 200.0, r) for k, r in enumerate((0, 90, 180, 270, -90, None))], "doc_id int, page_no int, width double, height double, rotation int")
+    spans = spark.createDataFrame([(1, k, 10.0, 20.0, 30.0, 25.0) for k in range(6)], "doc_id int, page_no int, x0 double, y0 double, x1 double, y1 double")
+    turned, boxes = L.upright(pages, spans)
+    assert [(r.width, r.height, r.rotation) for r in turned.orderBy("page_no").collect()] == [(100, 200, 0), (200, 100, 0), (100, 200, 0), (200, 100, 0), (200, 100, 0), (100, 200, 0)]
+    got = [(r.x0, r.y0, r.x1, r.y1) for r in boxes.orderBy("page_no").collect()]
+    assert got == [(10, 20, 30, 25), (175, 10, 180, 30), (70, 175, 90, 180), (20, 70, 25, 90), (20, 70, 25, 90), (10, 20, 30, 25)]

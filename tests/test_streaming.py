@@ -45,3 +45,36 @@ def test_state_query_reads_folders_and_empty_tables(spark, tmp_path):
     assert got == want and got
     given.where("false").write.parquet(str(tmp_path / "b" / "events.parquet"))
     assert Q.job_state_stream(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_intake_tries_again_and_keeps_all_states(spark, tmp_path):
+    source, states, checkpoint = (str(tmp_path / x) for x in ("in", "states", "checkpoint"))
+    names = ["refused", "queue_error", "file_error", "extract_error", "page_error", "check_error"]
+    schema = "job_id int, " + ", ".join(f"{n} string" for n in names) + ", no_text boolean, n_paragraphs int"
+    for first in (0, 10):
+        rows = [(first + k, *[None] * 6, k == 3, k % 2) for k in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    failures = [ValueError("once"), ValueError("twice")]
+
+    def run(batch):
+        if failures:
+            raise failures.pop()
+        return jobs.run(batch)
+
+    streams.intake(streams.event_stream(spark, source, spark.read.parquet(source).schema), run, states, checkpoint).awaitTermination()
+    got = spark.read.parquet(states)
+    last = {r.job_id: r.status for r in got.groupBy("job_id").agg(F.max_by("status", "seq").alias("status")).collect()}
+    assert not failures and last == {first + k: "COMPLETE" if k % 2 and k != 3 else "FAILED" for first in (0, 10) for k in range(10)}
+
+
+def test_poll_ends_with_a_terminal_state():
+    answers = iter([None, {"status": "RUNNING"}, OSError("away"), {"status": "COMPLETE"}, {"status": "never read"}])
+
+    def read():
+        found = next(answers)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    assert [s["status"] for s in streams.poll(read, every=0.0)] == ["RUNNING", "COMPLETE"]
+    assert list(streams.poll(lambda: None, every=0.01, most=0.03)) == []

@@ -30,6 +30,11 @@ SPACE = r"[\s\p{Z}\x{85}]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, inside a single expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pytrim(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"^{SPACE}+|(?<!{SPACE}){SPACE}++$", "")

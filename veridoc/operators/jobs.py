@@ -8,6 +8,52 @@ from pyspark.sql import functions as F
 # Seconds that a finished job is kept; snapshots until a page counts as stable anyway; least crop in pixels.
 KEEP_SECONDS, MOST_SNAPSHOTS, LEAST_CROP = 3600, 10, 50
 TERMINAL = ("COMPLETE", "FAILED")
+# The states of a job that runs to its end, with their progress and messages; what its result is kept for.
+STATES = (
+    ("QUEUED", 0, None), ("RUNNING", 0, None), ("RUNNING", 5, "Preflight passed"), ("RUNNING", 10, "Extracting PDF text..."), ("RUNNING", 15, "Measuring PDF structure..."),
+    ("RUNNING", 20, "Extracting PDF text..."), ("RUNNING", 40, "Extracted paragraphs from PDF"), ("RUNNING", 45, "Scraping website..."), ("RUNNING", 70, "Scraped paragraphs from website"),
+    ("RUNNING", 75, "Running QA checks..."), ("RUNNING", 90, "Found issues"), ("COMPLETE", 100, None),
+)
+#: How many of STATES a job has had when a step fails.
+AT_QUEUE, AT_PREFLIGHT, AT_EXTRACTION, AT_SCRAPE, AT_CHECKS = 1, 2, 6, 8, 10
+
+
+def run(requests: DataFrame) -> DataFrame:
+    """requests with status, progress, error and states (array<struct<seq, status, progress, message, error>>).
+
+    What went wrong is data: refused (why a request is no job), queue_error, file_error, no_text, extract_error,
+    n_paragraphs, page_error, check_error; the first that holds ends the job, and no row fails another. A refused request
+    has no states.
+    """
+    named = lambda prefix, c: F.concat(F.lit(prefix + ": "), c)
+    steps = [
+        (AT_QUEUE, F.col("queue_error").isNotNull(), named("QUEUE_ERROR", F.col("queue_error"))),
+        (AT_PREFLIGHT, F.col("file_error").isNotNull(), F.col("file_error")),
+        (AT_PREFLIGHT, F.col("no_text"), F.lit("NO_TEXT_LAYER")),
+        (AT_EXTRACTION, F.col("extract_error").isNotNull(), named("EXTRACTION_ERROR", F.col("extract_error"))),
+        (AT_EXTRACTION, F.col("n_paragraphs") == 0, F.lit("EMPTY_OUTPUT: extraction produced no text")),
+        (AT_SCRAPE, F.col("page_error").isNotNull(), F.col("page_error")),
+        (AT_CHECKS, F.col("check_error").isNotNull(), named("UNEXPECTED_ERROR", F.col("check_error"))),
+    ]
+    end = F.lit(None).cast("struct<at:int,error:string>")
+    for at, test, error in reversed(steps):
+        end = F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(at).alias("at"), error.alias("error"))).otherwise(end)
+    state = lambda seq, status, progress, message, error: F.struct(seq.cast("int").alias("seq"), status.alias("status"), progress.cast("int").alias("progress"), message.cast("string").alias("message"), error.cast("string").alias("error"))
+    whole = F.array(*[state(F.lit(k), F.lit(s), F.lit(p), F.lit(m), F.lit(None)) for k, (s, p, m) in enumerate(STATES)])
+    rows = requests.withColumn("_end", end)
+    failed = F.array(state(F.col("_end.at"), F.lit("FAILED"), F.lit(0), F.lit(None), F.col("_end.error")))
+    states = F.when(F.col("refused").isNotNull(), F.slice(whole, 1, 0)).when(F.col("_end").isNotNull(), F.concat(F.slice(whole, F.lit(1), F.col("_end.at")), failed)).otherwise(whole)
+    rows = rows.withColumn("states", states)
+    last = F.try_element_at("states", F.lit(-1))
+    return rows.withColumns({
+        "status": F.when(F.col("refused").isNotNull(), "REFUSED").otherwise(last["status"]), "progress": F.coalesce(last["progress"], F.lit(0)), "error": F.coalesce("refused", last["error"]),
+    }).drop("_end")
+
+
+def run_counts(ran: DataFrame) -> DataFrame:
+    """One row: how many jobs succeeded, failed and were refused."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    return ran.agg(n("COMPLETE").alias("succeeded"), n("FAILED").alias("failed"), n("REFUSED").alias("refused"))
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -35,6 +81,12 @@ def fraction_to_pixel(fraction: Column, height: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(fraction, F.lit(1.0))) * height
 
 
+def crop_edges(top: Column, bottom: Column, height: Column) -> tuple[Column, Column]:
+    """The pixels of a crop's edges, kept LEAST_CROP apart within the page: the lower edge gives way, then the upper."""
+    upper = F.greatest(F.lit(0.0), F.least(top, height - LEAST_CROP))
+    return upper, F.least(height, F.greatest(bottom, upper + LEAST_CROP))
+
+
 def clamp_range(first: Column, last: Column, pages: Column) -> tuple[Column, Column]:
     """A range of pages from 1, clamped to those that exist, as first (from 0) and last (exclusive)."""
     low = F.greatest(F.lit(1), F.least(first, pages))

@@ -35,6 +35,20 @@ def digital_spans(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(digital_pages(pages).where("digital").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
 
 
+def upright(pages: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages and spans as a reader sees them: boxes given on the unturned page are turned clockwise by the page's
+    rotation (a multiple of 90), width and height change places where the page lies on its side."""
+    r, w, h = F.pmod(F.coalesce("rotation", F.lit(0)), F.lit(360)), F.col("width"), F.col("height")
+    lies = r.isin(90, 270)
+    turned = spans.join(pages.select("doc_id", "page_no", r.alias("_r"), w.alias("_w"), h.alias("_h")), ["doc_id", "page_no"])
+    by = lambda none, quarter, half, three: F.when(F.col("_r") == 90, F.expr(quarter)).when(F.col("_r") == 180, F.expr(half)).when(F.col("_r") == 270, F.expr(three)).otherwise(F.expr(none))
+    boxes = {
+        "x0": by("x0", "_h - y1", "_w - x1", "y0"), "y0": by("y0", "x0", "_h - y1", "_w - x1"), "x1": by("x1", "_h - y0", "_w - x0", "y1"), "y1": by("y1", "x1", "_h - y0", "_w - x0"),
+    }
+    upright_pages = pages.withColumns({"width": F.when(lies, h).otherwise(w), "height": F.when(lies, w).otherwise(h), "rotation": F.lit(0)})
+    return upright_pages, turned.withColumns(boxes).drop("_r", "_w", "_h")
+
+
 def rotated_pages(pages: DataFrame) -> DataFrame:
     """doc_id, rotated: the numbers of the pages that are turned."""
     return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("rotation") != 0, F.col("page_no")))).alias("rotated"))

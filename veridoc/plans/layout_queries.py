@@ -87,7 +87,7 @@ cb AS (SELECT doc_id, page_no, side, col_id, min(x) AS x_start, max(x) AS x_end
 sc AS (SELECT sq.*, (SELECT arg_min(col_id, (abs(sq.x0 - x_start), col_id)) FROM cb WHERE cb.doc_id = sq.doc_id AND cb.page_no = sq.page_no AND cb.side = sq.side) AS col_id FROM sq),
 li AS (SELECT doc_id, page_no, side, col_id, round_even(y0 / 6, 0) * 6 AS y_key, trim(string_agg(trim(text), ' ' ORDER BY x0, seq)) AS line FROM sc GROUP BY ALL),
 lp AS (SELECT doc_id, page_no, side, list(line ORDER BY col_id, y_key) AS lines FROM li WHERE line <> '' GROUP BY ALL),
-pa AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, side)::INT AS para_index, page_no AS page, 'FULL' AS "column", trim(array_to_string(lines, chr(10))) AS text FROM lp)
+pa AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, side)::INT AS para_index, page_no AS page, 'FULL' AS "column", trim(array_to_string(lines, ' ')) AS text FROM lp)
 """
 
 
@@ -210,13 +210,33 @@ def pdf_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pdf_ready(E.paragraphs(E.logical_pages(_lines(spark, sf_dir))))
 
 
-@query()
+_CLIPPED = """cl AS (SELECT doc_id, 0.0 AS cx0, CASE WHEN header_y > 0 AND header_y < footer_y AND header_y < page_height THEN header_y ELSE 0 END AS cy0,
+  CASE WHEN sidebar_x > 0 AND sidebar_x < page_width THEN sidebar_x ELSE page_width END AS cx1, CASE WHEN footer_y < page_height AND footer_y > header_y AND footer_y > 0 THEN footer_y ELSE page_height END AS cy1,
+  round_even(decorative_threshold, 1) AS least_size FROM docs JOIN hf USING (doc_id) JOIN sb USING (doc_id) JOIN fs USING (doc_id)),
+inside AS (SELECT sp.* FROM sp JOIN dg USING (doc_id, page_no) JOIN cl USING (doc_id) WHERE digital AND x1 > cx0 AND x0 < cx1 AND y1 > cy0 AND y0 < cy1 AND size >= least_size),
+nz AS (SELECT * FROM inside s"""
+
+
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement and all steps of extraction, clip and font size included."""
     pages, spans = _parts(spark, sf_dir)
     return E.pdf_ready(E.paragraphs(E.extract(pages, spans, L.measure(pages, spans))))
 
 
+QUERIES["extract_documents"] = extract_documents
+ORACLE["extract_documents"] = f"""WITH {LAYOUT.replace("nz AS (SELECT * FROM sp s", _CLIPPED)} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para_index) AS pdf_ready FROM pa WHERE text <> '' GROUP BY doc_id"""
+
+
+@query("""SELECT doc_id, page_no, seq, CASE turn WHEN 90 THEN h - y1 WHEN 180 THEN w - x1 WHEN 270 THEN y0 ELSE x0 END AS x0, CASE turn WHEN 90 THEN x0 WHEN 180 THEN h - y1 WHEN 270 THEN w - x1 ELSE y0 END AS y0,
+  CASE turn WHEN 90 THEN h - y0 WHEN 180 THEN w - x0 WHEN 270 THEN y1 ELSE x1 END AS x1, CASE turn WHEN 90 THEN x1 WHEN 180 THEN h - y0 WHEN 270 THEN w - x0 ELSE y1 END AS y1
+  FROM sp JOIN (SELECT doc_id, page_no, width AS w, height AS h, o_orderkey % 4 * 90 AS turn FROM pg) USING (doc_id, page_no)""")
+def upright_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of pages that are turned by a quarter for each of their number's remainder by four."""
+    pages, spans = _parts(spark, sf_dir)
+    turned = pages.withColumn("rotation", (F.col("o_orderkey") % 4 * 90).cast("int"))
+    return L.upright(turned, spans)[1].select("doc_id", "page_no", "seq", "x0", "y0", "x1", "y1")
+
+
 @query("""SELECT doc_id, bool_or(length(trim(plain_text)) > 10) FILTER (page_no <= 3) AS has_text, count(*) AS page_count, CASE WHEN NOT bool_or(length(trim(plain_text)) > 10) FILTER (page_no <= 3) THEN 'NO_TEXT_LAYER' END AS error FROM pg GROUP BY doc_id""")
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.sources.pdf import preflight as check

@@ -103,9 +103,9 @@ def currency_web_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAIRS}
 SELECT pair_id, format('issue_{{:03d}}', row_number() OVER (PARTITION BY pair_id ORDER BY ord)) AS id, number AS numeric_value, pdf_symbol, web_symbol, unit,
-  'The PDF uses "' || pdf_symbol || '" but the website uses "' || web_symbol || '" — they must match exactly.' AS explanation FROM bad""")
+  printf('{C.MISMATCH_SAID}', pdf_symbol, web_symbol) AS explanation FROM bad""")
 def issue_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.format_string('The PDF uses "%s" but the website uses "%s" — they must match exactly.', "pdf_symbol", "web_symbol")
+    said = F.format_string(C.MISMATCH_SAID, "pdf_symbol", "web_symbol")
     rows = C.numbered(currency_issues(spark, sf_dir), "issue", ["ord"])
     return rows.select("pair_id", "id", F.col("number").alias("numeric_value"), "pdf_symbol", "web_symbol", "unit", said.alias("explanation"))
 
@@ -215,12 +215,16 @@ def nfc_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_as(spark, sf_dir, t="replace(text, 'é', 'é')").select("doc_id", X.prepare(F.col("t")).alias("prepared"))
 
 
-@query()
+# What folding does to the characters that these texts hold: SQL has no compatibility form.
+@query(f"""WITH t AS (SELECT doc_id, {CURLY} AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(replace(replace(nfc_normalize(t), '’', ''''), chr(160), ' '), '([A-Za-z])-[\\s\\p{{Z}}]+([A-Za-z])', '\\1-\\2', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS prepared FROM t""")
 def prepare_for_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_as(spark, sf_dir, t=CURLY).select("doc_id", X.prepare_for_comparison(F.col("t"), U.LOOKALIKES).alias("prepared"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {CURLY} AS t FROM documents), m AS (FROM (VALUES (chr(8217), 'U+2019', 'RIGHT SINGLE QUOTATION MARK', '''', 'skeleton'), (chr(160), 'U+00A0', 'NO-BREAK SPACE', ' ', 'NFKC')) AS m(original, codepoint, name, result, changed_by)),
+p AS (SELECT *, (strpos(t, original) - 1)::INT AS position FROM t JOIN m ON contains(t, original))
+SELECT doc_id, original, codepoint, name, result, changed_by, position, substr(t, greatest(position - 30, 0) + 1, position + 30 - greatest(position - 30, 0)) AS sample_context FROM p""")
 def unicode_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.audit(docs_as(spark, sf_dir, t=CURLY), "doc_id", "t", U.LOOKALIKES)
 
