@@ -3,11 +3,14 @@
 Inputs: pages (doc_id, page_no, width, height, rotation, plain_text) and spans (doc_id, page_no, seq, text, x0, y0, x1, y1,
 size, font). All results hang on the documents of `pages`, so documents without spans keep their defaults. `seq` gives
 spans their reading order; every list has an order of its own, whatever the shuffles do.
+
+Two passes over the spans measure everything: facts() what repeats in the zones at the edges, sizes and halves; body(),
+which needs the zones, what lies between them. A function that returns a part of it reads only that part's columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import pytrim
@@ -54,78 +57,107 @@ def rotated_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("rotation") != 0, F.col("page_no")))).alias("rotated"))
 
 
-def repeating(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, zone (top, bottom, right), y, strings: texts that repeat in a zone, by falling count, then by first
-    appearance; y is the lowest edge of those at the top, the highest of those at the bottom, the leftmost at the right.
+_NONE = "cast(array() as array<string>)"
+
 
-    One pass over the spans serves all zones. Of a text that stands on a page more than once the first span counts.
+def facts(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """documents() with the first pass's results: for the zones top, bottom and right `_v` (the lowest edge of the texts
+    that repeat at the top, negative; the highest of those at the bottom; the leftmost at the right) and `_strings` (by
+    falling count, then by first appearance; null: none); shares of sizes and halves.
+
+    Every span gives a fact for its size and one for each zone it is in; facts are counted by page, then by text, then by
+    document. Of a text that stands on a page more than once the first span counts.
     """
-    found = digital_spans(pages, spans).join(documents(pages), "doc_id").withColumn("text", pytrim(F.col("text"))).where("text <> ''")
-    at = lambda name, test, value: F.when(test, F.struct(F.lit(name).alias("zone"), value.alias("v")))
-    zones = F.array(
+    docs, text = documents(pages), pytrim(F.col("text"))
+    found = digital_spans(pages, spans).join(docs, "doc_id")
+    fact = lambda kind, key, page, size, v: F.struct(F.lit(kind).alias("kind"), key.alias("key"), page.alias("page"), size.cast("double").alias("s"), v.cast("double").alias("v"))
+    none = F.lit(None)
+    at = lambda zone, test, v: F.when(test & (text != ""), fact(zone, text, F.col("page_no"), none, v))
+    each = F.array(
         at("top", (F.col("y0") < F.col("page_height") * TOP) & (F.col("x0") < F.col("page_width") * RIGHT), -F.col("y1")),
         at("bottom", F.col("y1") > F.col("page_height") * BOTTOM, F.col("y0")), at("right", F.col("x0") > F.col("page_width") * RIGHT, F.col("x0")),
+        fact("size", F.lit(""), F.lit(0), F.bround("size", 1), none),
+    )
+    left = ((F.col("x0") + F.col("x1")) / 2 < F.col("page_width") / 2).cast("int")
+    rows = found.select("doc_id", "least", "page_no", "seq", left.alias("left"), F.explode(F.array_compact(each)).alias("f"))
+    rows = rows.select("doc_id", "least", "page_no", "seq", "left", "f.*")
+    by_page = rows.groupBy("doc_id", "least", "kind", "key", "page", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("left").alias("left"), F.min(F.struct("page_no", "seq", "v")).alias("f"))
+    by_text = by_page.groupBy("doc_id", "least", "kind", "key", "s").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("left").alias("left"), F.min("f.v").alias("v"), F.min(F.struct("f.page_no", "f.seq")).alias("first")
     )
-    rows = found.select("doc_id", "least", "page_no", "seq", "text", F.explode(F.array_compact(zones)).alias("z"))
-    by_page = rows.groupBy("doc_id", "least", F.col("z.zone").alias("zone"), "text", "page_no").agg(F.min(F.struct("seq", "z.v")).alias("f"))
-    by_text = by_page.groupBy("doc_id", "least", "zone", "text").agg(F.count(F.lit(1)).alias("n"), F.min("f.v").alias("v"), F.min(F.struct("page_no", "f.seq")).alias("first"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "text"))), lambda x: x["text"])
-    often = by_text.where(F.col("n") >= F.col("least")).groupBy("doc_id", "zone").agg(F.min("v").alias("v"), listed.alias("strings"))
-    return often.select("doc_id", "zone", F.when(F.col("zone") == "top", -F.col("v")).otherwise(F.col("v")).alias("y"), "strings")
+    size = F.col("kind") == "size"
 
+    def zone(name: str) -> list:
+        here = (F.col("kind") == name) & (F.col("pages") >= F.col("least"))
+        listed = F.sort_array(F.collect_list(F.when(here, F.struct((-F.col("pages")).alias("n"), "first", "key"))))
+        return [F.min(F.when(here, F.col("v"))).alias(f"{name}_v"), F.when(F.size(listed) > 0, F.transform(listed, lambda x: x["key"])).alias(f"{name}_strings")]
+
+    whole = by_text.groupBy("doc_id").agg(
+        *zone("top"), *zone("bottom"), *zone("right"),
+        (F.sum(F.when(size, F.col("left"))) / F.sum(F.when(size, F.col("n")))).alias("left_share"), F.min("s").alias("lo"), F.max("s").alias("hi"),
+        F.min(F.when(size & (F.col("n") >= FREQUENT), F.col("s"))).alias("real"), F.min(F.when(size, F.struct((-F.col("n")).alias("n"), "first", "s")))["s"].alias("body"),
+    )
+    return docs.join(whole, "doc_id", "left")
 
-_NONE = "cast(array() as array<string>)"
+
+def with_header_footer(known: DataFrame) -> DataFrame:
+    """facts() with header_y, footer_y, header_strings, footer_strings."""
+    return known.withColumns({
+        "header_y": F.greatest(F.coalesce(-F.col("top_v"), F.lit(0.0)), F.lit(0.0)) + BUFFER, "footer_y": F.least(F.coalesce("bottom_v", "page_height"), F.col("page_height")) - BUFFER,
+        "header_strings": F.coalesce("top_strings", F.expr(_NONE)), "footer_strings": F.coalesce("bottom_strings", F.expr(_NONE)),
+    })
 
 
 def header_footer(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, header_y, footer_y, header_strings, footer_strings."""
-    of = lambda zone, column: F.max(F.when(F.col("zone") == zone, F.col(column)))
-    found = repeating(pages, spans).groupBy("doc_id").agg(of("top", "y").alias("t"), of("bottom", "y").alias("b"), of("top", "strings").alias("ts"), of("bottom", "strings").alias("bs"))
-    rows = documents(pages).join(found, "doc_id", "left")
-    return rows.select(
-        "doc_id", (F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(0.0)) + BUFFER).alias("header_y"), (F.least(F.coalesce("b", "page_height"), F.col("page_height")) - BUFFER).alias("footer_y"),
-        F.coalesce("ts", F.expr(_NONE)).alias("header_strings"), F.coalesce("bs", F.expr(_NONE)).alias("footer_strings"),
-    )
+    return with_header_footer(facts(pages, spans)).select("doc_id", "header_y", "footer_y", "header_strings", "footer_strings")
+
+
+def with_body(known: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """with_header_footer() with sidebar_x, sidebar_strings and column_count, by a second pass over the spans between
+    header and footer: how far they reach, and a histogram of left edges, both for a page with its sidebar and without,
+    as which it is follows from the reach. Of neighbouring peaks every second counts."""
+    known = known.withColumn("_min_x", F.least("right_v", "page_width"))
+    body = digital_spans(pages, spans).join(known.select("doc_id", "header_y", "footer_y", "page_width", "_min_x"), "doc_id").where("y0 >= header_y AND y1 <= footer_y")
+    upto = lambda x: F.count_if((F.col("x0") <= x) & (F.col("size") >= LEAST_SIZE))
+    bands = body.groupBy("doc_id", (F.col("x0") / BAND).cast("int").alias("b")).agg(F.max("x1").alias("x1"), upto(F.col("page_width")).alias("wide"), upto(F.col("_min_x") - BUFFER).alias("narrow"))
+    whole = bands.groupBy("doc_id").agg(F.max("x1").alias("_reach"), F.sort_array(F.collect_list(F.struct("b", "wide", "narrow"))).alias("_bands"))
+    rows = known.join(whole, "doc_id", "left")
+    overlap = F.greatest(F.coalesce("_reach", F.lit(0.0)), F.lit(0.0)) > F.col("_min_x") - OVERLAP
+    without = F.col("right_strings").isNull() | overlap
+    rows = rows.withColumn("_bands", F.filter(F.transform("_bands", lambda x: F.struct(x["b"].alias("b"), F.when(without, x["wide"]).otherwise(x["narrow"]).alias("n"))), lambda x: x["n"] > 0))
+    rows = rows.withColumn("_most", F.array_max(F.transform("_bands", lambda x: x["n"])))
+
+    def peak(x: Column, i: Column) -> Column:
+        near = lambda other, b: F.when(other["b"] == b, other["n"]).otherwise(0)
+        above = (x["n"] >= near(F.get("_bands", i - 1), x["b"] - 1)) & (x["n"] >= near(F.get("_bands", i + 1), x["b"] + 1))
+        return (x["n"] > F.col("_most") * PEAK_SHARE) & above & (x["b"] >= 0) & (x["b"] <= (F.col("page_width") / BAND).cast("int"))
+
+    kept = F.aggregate(
+        F.filter("_bands", peak), F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")),
+        lambda s, x: F.when(x["b"] - s["last"] <= 1, s).otherwise(F.struct(x["b"].alias("last"), (s["n"] + 1).alias("n"))),
+    )["n"]
+    return rows.withColumns({
+        "sidebar_x": F.when(without, F.col("page_width")).otherwise(F.col("_min_x") - BUFFER), "sidebar_strings": F.coalesce("right_strings", F.expr(_NONE)),
+        "column_count": F.greatest(F.lit(1), F.least(F.coalesce(kept, F.lit(1)), F.lit(MOST_COLUMNS))),
+    }).drop("_min_x", "_reach", "_bands", "_most")
+
+
+def zones(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, page_width, page_height and the edges and strings of header, footer and sidebar, and column_count."""
+    found = with_body(with_header_footer(facts(pages, spans)), pages, spans)
+    return found.select("doc_id", "page_width", "page_height", "header_y", "footer_y", "sidebar_x", "header_strings", "footer_strings", "sidebar_strings", "column_count")
 
 
-def sidebar(pages: DataFrame, spans: DataFrame, zones: DataFrame) -> DataFrame:
-    """doc_id, sidebar_x, sidebar_strings; zones from header_footer()."""
-    docs, found = documents(pages), digital_spans(pages, spans)
-    right = repeating(pages, spans).where("zone = 'right'").select("doc_id", F.col("y").alias("min_x"), "strings")
-    body = found.join(zones.select("doc_id", "header_y", "footer_y"), "doc_id").where("y0 >= header_y AND y1 <= footer_y").groupBy("doc_id").agg(F.max("x1").alias("max_x1"))
-    rows = docs.join(right, "doc_id", "left").join(body, "doc_id", "left")
-    min_x = F.least("min_x", "page_width")
-    overlap = F.greatest(F.coalesce("max_x1", F.lit(0.0)), F.lit(0.0)) > min_x - OVERLAP
-    x = F.when(F.col("strings").isNull() | overlap, F.col("page_width")).otherwise(min_x - BUFFER)
-    return rows.select("doc_id", x.alias("sidebar_x"), F.coalesce("strings", F.expr(_NONE)).alias("sidebar_strings"))
+def with_spread(known: DataFrame) -> DataFrame:
+    """facts() with is_spread and mid_x: landscape documents with text on both halves."""
+    both = F.coalesce((F.col("page_width") > F.col("page_height")) & (F.col("left_share") > SPREAD_SHARE) & (1 - F.col("left_share") > SPREAD_SHARE), F.lit(False))
+    return known.withColumns({"is_spread": both, "mid_x": F.when(both, F.col("page_width") / 2)})
 
 
 def spread(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, is_spread, mid_x: landscape documents with text on both halves."""
-    docs = documents(pages)
-    left = F.avg(F.when((F.col("x0") + F.col("x1")) / 2 < F.col("page_width") / 2, 1.0).otherwise(0.0))
-    shares = digital_spans(pages, spans).join(docs, "doc_id").groupBy("doc_id").agg(left.alias("l"))
-    rows = docs.join(shares, "doc_id", "left")
-    both = F.coalesce((F.col("page_width") > F.col("page_height")) & (F.col("l") > SPREAD_SHARE) & (1 - F.col("l") > SPREAD_SHARE), F.lit(False))
-    return rows.select("doc_id", both.alias("is_spread"), F.when(both, F.col("page_width") / 2).alias("mid_x"))
-
-
-def column_count(pages: DataFrame, spans: DataFrame, zones: DataFrame, sides: DataFrame) -> DataFrame:
-    """doc_id, column_count: peaks in a histogram of left edges; of neighbouring peaks every second counts."""
-    docs = documents(pages)
-    body = digital_spans(pages, spans).join(zones, "doc_id").join(sides, "doc_id")
-    body = body.where(f"y0 >= header_y AND y1 <= footer_y AND x0 <= sidebar_x AND size >= {LEAST_SIZE}")
-    bands = body.groupBy("doc_id", (F.col("x0") / BAND).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    doc = Window.partitionBy("doc_id")
-    near = lambda k: F.coalesce(F.sum("n").over(doc.orderBy("b").rangeBetween(k, k)), F.lit(0))
-    bands = bands.withColumns({"most": F.max("n").over(doc), "before": near(-1), "after": near(1)}).join(docs.select("doc_id", "page_width"), "doc_id")
-    peaks = bands.where(f"n > most * {PEAK_SHARE} AND n >= before AND n >= after AND b >= 0 AND b <= cast(page_width / {BAND} as int)")
-    kept = F.aggregate(
-        F.sort_array(F.collect_list("b")), F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")),
-        lambda s, b: F.when(b - s["last"] <= 1, s).otherwise(F.struct(b.alias("last"), (s["n"] + 1).alias("n"))),
-    )["n"]
-    counted = peaks.groupBy("doc_id").agg(kept.alias("n"))
-    return docs.join(counted, "doc_id", "left").select("doc_id", F.greatest(F.lit(1), F.least(F.coalesce("n", F.lit(1)), F.lit(MOST_COLUMNS))).alias("column_count"))
+    """doc_id, is_spread, mid_x."""
+    return with_spread(facts(pages, spans)).select("doc_id", "is_spread", "mid_x")
 
 
 def fonts(pages: DataFrame, spans: DataFrame) -> DataFrame:
@@ -139,27 +171,24 @@ def fonts(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return sums.join(firsts, ["doc_id", "font"])
 
 
-def font_sizes(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, font_size_min, font_size_max, decorative_threshold."""
-    docs = documents(pages)
-    sizes = digital_spans(pages, spans).groupBy("doc_id", F.bround("size", 1).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_no", "seq")).alias("first"))
-    body = F.min(F.struct((-F.col("n")).alias("n"), "first", "s"))["s"]
-    found = sizes.groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.when(F.col("n") >= FREQUENT, F.col("s"))).alias("real"), body.alias("body"))
-    rows = docs.join(found, "doc_id", "left")
+def with_font_sizes(known: DataFrame) -> DataFrame:
+    """facts() with font_size_min, font_size_max, decorative_threshold."""
     threshold = F.greatest(F.coalesce(F.col("real") - 0.5, F.col("body") - 1.0, F.lit(8.0)), F.lit(0.0))
-    return rows.select("doc_id", F.coalesce("lo", F.lit(0.0)).alias("font_size_min"), F.coalesce("hi", F.lit(0.0)).alias("font_size_max"), threshold.alias("decorative_threshold"))
+    return known.withColumns({"font_size_min": F.coalesce("lo", F.lit(0.0)), "font_size_max": F.coalesce("hi", F.lit(0.0)), "decorative_threshold": threshold})
 
 
 def measure(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Everything that extraction needs, and what a report shows, in one row for each document."""
-    docs = documents(pages).drop("least")
-    zones = header_footer(pages, spans)
-    sides = sidebar(pages, spans, zones)
-    marks = digital_pages(pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(~F.col("digital"), F.col("page_no")))).alias("non_digital_pages"))
-    parts = [zones, sides, spread(pages, spans), column_count(pages, spans, zones, sides), font_sizes(pages, spans), rotated_pages(pages), marks]
-    for part in parts:
-        docs = docs.join(part, "doc_id")
-    return docs
+    known = with_font_sizes(with_spread(with_header_footer(facts(pages, spans))))
+    found = with_body(known, pages, spans).select(
+        "doc_id", "page_count", "page_width", "page_height", "header_y", "footer_y", "header_strings", "footer_strings", "sidebar_x", "sidebar_strings", "is_spread", "mid_x", "column_count",
+        "font_size_min", "font_size_max", "decorative_threshold",
+    )
+    marks = digital_pages(pages).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("rotation") != 0, F.col("page_no")))).alias("rotated"),
+        F.sort_array(F.collect_list(F.when(~F.col("digital"), F.col("page_no")))).alias("non_digital_pages"),
+    )
+    return found.join(marks, "doc_id")
 
 
 def constants(measured: DataFrame) -> DataFrame:

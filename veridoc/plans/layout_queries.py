@@ -98,9 +98,9 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, spans = _parts(spark, sf_dir)
-    zones = L.header_footer(pages, spans)
-    noise = zones.join(L.sidebar(pages, spans, zones), "doc_id")
-    return E.split_spread(E.without_noise(spans, noise), L.spread(pages, spans))
+    known = L.with_spread(L.with_header_footer(L.facts(pages, spans)))
+    noise = L.with_body(known, pages, spans)
+    return E.split_spread(E.without_noise(spans, noise), noise)
 
 
 @query("SELECT doc_id, header_y, footer_y, header_strings, footer_strings FROM hf")
@@ -111,7 +111,7 @@ def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sidebar_x, sidebar_strings FROM sb")
 def sidebar_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, spans = _parts(spark, sf_dir)
-    return L.sidebar(pages, spans, L.header_footer(pages, spans))
+    return L.zones(pages, spans).select("doc_id", "sidebar_x", "sidebar_strings")
 
 
 @query("SELECT doc_id, is_spread, mid_x FROM sd")
@@ -122,8 +122,7 @@ def spread_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, column_count FROM cc")
 def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, spans = _parts(spark, sf_dir)
-    zones = L.header_footer(pages, spans)
-    return L.column_count(pages, spans, zones, L.sidebar(pages, spans, zones))
+    return L.zones(pages, spans).select("doc_id", "column_count")
 
 
 @query("""SELECT doc_id, font, count(*) AS spans, list_sort(list(DISTINCT round_even(size, 1))) AS sizes, list(text[1:40] ORDER BY page_no, seq)[1:3] AS samples FROM ds GROUP BY doc_id, font""")
@@ -151,8 +150,7 @@ def rotation_census(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM docs JOIN hf USING (doc_id) JOIN sb USING (doc_id)""")
 def clip_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, spans = _parts(spark, sf_dir)
-    zones = L.header_footer(pages, spans)
-    rows = L.documents(pages).join(zones, "doc_id").join(L.sidebar(pages, spans, zones), "doc_id")
+    rows = L.zones(pages, spans)
     clip = E.clip_rect(*(F.col(c) for c in ("page_width", "page_height", "header_y", "footer_y", "sidebar_x")), crop=(0.02, 1.0, 0.05, 0.97))
     return rows.select("doc_id", clip.alias("c")).select("doc_id", "c.*")
 
@@ -165,8 +163,7 @@ def page_range_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, page_no, seq, text FROM nz")
 def noise_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, spans = _parts(spark, sf_dir)
-    zones = L.header_footer(pages, spans)
-    return E.without_noise(spans, zones.join(L.sidebar(pages, spans, zones), "doc_id")).select("doc_id", "page_no", "seq", "text")
+    return E.without_noise(spans, L.zones(pages, spans)).select("doc_id", "page_no", "seq", "text")
 
 
 @query("SELECT doc_id, page_no, seq, side, x0 FROM sq")
