@@ -13,9 +13,13 @@ The model sees documents only through their vote patterns. There are at most 3 *
 corpus, so one aggregation over all documents leaves a table with a proven bound; EM runs over it as one SQL expression.
 Everything is DataFrame functions: no Python on the executors, no shuffle of texts.
 
+score_rules() writes the documents with their counts once and joins the verdicts to what it has written, on the pattern's
+code: counting, the costly part, is done once for each text.
+
 Defined cases: a null text is an empty one; a document without words gets abstentions only (and fails the base rule);
 repeated rows each get their verdict; an empty table gives an empty result; other columns pass through score_rules()
-untouched, as all of its own columns live in one struct column named `_rules`.
+untouched, as all of its own columns live in one struct column, named `_rules` or with as many more underscores as no
+column has.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.shared import SPACE, let, table, total, words, written
+from veridoc.llm.shared import SPACE, let, packed, table, total, unused, words, written
 
 GOOD, ABSTAIN, BAD = 2, 1, 0
 #: name: (measure, bad if over, good if under); between the two, and where the measure is null, the rule abstains.
@@ -163,10 +167,11 @@ def judged(voted: DataFrame, model: DataFrame) -> DataFrame:
     return found.withColumn("_rules", F.struct(*[r[f].alias(f) for f in fields], F.col("_posterior").alias("posterior"), kept.alias("kept"))).drop("_code", "_posterior")
 
 
-def score_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, with all their columns, and the struct `_rules`; counts twice rather than shuffle or store texts."""
-    voted = votes(counts(docs, text))
-    return judged(voted, written(label_model(votes(counts(docs.select(text), text))), "label-model"))
+def score_rules(docs: DataFrame, text: str = "text", into: str | None = None) -> DataFrame:
+    """docs, with all their columns, and a struct column of counts, votes and verdict, named `into` or else `_rules` with as
+    many more underscores as no column has. Written down once with the counts, so that texts are counted once."""
+    voted = written(votes(counts(packed(docs, text=text))).drop("text"), "rule-votes")
+    return judged(voted, written(label_model(voted), "label-model")).select("_row.*", F.col("_rules").alias(into or unused(docs, "_rules")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(docs: DataFrame, **columns: str | Column) -> DataFrame:
+    """docs as one struct column `_row`, beside columns of its own: what an operator adds cannot clash with what docs has."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow() with this package at hand in the workers."""
     ship(df.sparkSession)
