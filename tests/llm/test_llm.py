@@ -224,7 +224,7 @@ def test_ann_verifies_few():
     index, asked = qalsh.Index(ids, v), np.flatnonzero(ids % 100 == 0)
     for q in asked:
         index.search(v[q], int(ids[q]))
-    assert index.verified / len(asked) / len(ids) < 0.06
+    assert index.verified / len(asked) / len(ids) < 0.08
 
 
 def test_ann_repeated_rows(spark):
@@ -556,6 +556,74 @@ def test_deduplicated_awkward(spark, awkward, empty):
 
 # --- the pipeline -------------------------------------------------------------------------------------------------
 
+CLASHING = ["_rules", "_row", "score", "predicted", "_text", "_dup_id", "_dup_rows", "_mix_domain", "_mix_tokens", "_mix_epoch", "n_words", "_w", "copies"]
+
+
+def stage_docs(spark, rows):
+    found = spark.createDataFrame(rows, SCHEMA)
+    return found.withColumns({"n_chars": F.length("text").cast("long"), **{c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}})
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_awkward_and_empty_tables(spark, at):
+    import corpus_pipeline as P
+
+    name, stage = P.STAGES[at]
+    docs = stage_docs(spark, AWKWARD)
+    found = stage(spark, docs, FOLDER)
+    last = at == len(P.STAGES) - 1
+    assert found.columns == docs.columns if not last else set(docs.columns) - {"text"} <= set(found.columns)
+    rows = found.collect()
+    assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+    given = Counter((r.doc_id, r.n_chars) for r in docs.collect())
+    assert set(Counter((r.doc_id, r.n_chars) for r in rows)) <= set(given) and (not last or Counter((r.doc_id, r.n_chars) for r in rows) == given)
+    none = stage(spark, docs.where("false"), FOLDER)
+    assert none.count() == 0 and none.columns == found.columns
+
+
+def brute_mixture(rows):
+    """(doc_id, text) and how often each is taken, by budgets poured down the tree and a walk along each leaf's epochs."""
+    import re as regular
+
+    at = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    tokens = lambda t: len(regular.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    leaves = defaultdict(list)
+    for i, text, lang, source in rows:
+        number = regular.search("([0-9]{1,9})$", source or "")
+        leaves["domain" + (str(int(number[1]) % 4) if number else "?"), lang or "", source or ""].append((i, text, tokens(text)))
+    size = {k: sum(x[2] for x in v) for k, v in leaves.items()}
+
+    def pour(budget, children, level):
+        """Whole shares, again and again: a child that cannot take its share takes all it can and leaves the game."""
+        weight = {c: mixing.WEIGHTS[level].get(c, mixing.DEFAULT_WEIGHT) for c in children}
+        given, open_ = {}, dict(children)
+        while open_:
+            total = sum(weight[c] for c in open_)
+            full = [c for c in open_ if open_[c] * total <= budget * weight[c]]
+            if not full:
+                return given | {c: budget * weight[c] // total for c in open_}
+            for c in full:
+                given[c] = open_.pop(c)
+            budget = budget - sum(given[c] for c in full)
+        return given
+
+    cap = lambda test: sum(n * mixing.MAX_EPOCHS for k, n in size.items() if test(k))
+    taken = Counter()
+    domains = pour(int(sum(size.values()) * mixing.SHARE), {d: cap(lambda k: k[0] == d) for d in {k[0] for k in size}}, "domain")
+    for d, budget in domains.items():
+        for lang, below in pour(budget, {x: cap(lambda k: k[:2] == (d, x)) for x in {k[1] for k in size if k[0] == d}}, "lang").items():
+            for source, tokens_of in pour(below, {x: cap(lambda k: k == (d, lang, x)) for x in {k[2] for k in size if k[:2] == (d, lang)}}, "source").items():
+                leaf, total = leaves[d, lang, source], size[d, lang, source]
+                if not total:
+                    continue
+                whole, rest = divmod(tokens_of, total)
+                so_far = 0
+                order = sorted(leaf, key=lambda x: (at(f"{mixing.SEED}:{whole}:{-1 if x[0] is None else x[0]}"), x[0] is not None, x[0] or 0))
+                for i, text, n in order:
+                    taken[i, text] += whole + (so_far < rest)
+                    so_far += n
+    return +taken
+
 
 def test_pipeline(spark):
     import corpus_pipeline as P
@@ -577,5 +645,20 @@ def test_pipeline(spark):
     for i, c in brute_classes(list(zip(good.doc_id, good.text, strict=True))):
         classes[c].append(i)
     assert {str(i) for i in kept.doc_id} == set(classes)
+    x = gam.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    want = x.score(np.array([gam.features_of(t) for t in ruled.text])) >= gam.CUT
+    assert set(good.doc_id) == set(ruled.doc_id[want])
     mixed, coded = made["source_mix"].toPandas(), made["byte_bpe"].toPandas()
-    assert set(mixed.doc_id) <= set(kept.doc_id) and len(coded) == len(mixed) and (coded.n_tokens == coded.ids.map(len)).all()
+    assert Counter(zip(mixed.doc_id, mixed.text, strict=True)) == brute_mixture(list(zip(kept.doc_id, kept.text, kept.lang, kept.source, strict=True)))
+    assert len(coded) == len(mixed) and (coded.n_tokens == coded.ids.map(len)).all() and "text" not in coded.columns
+    by_id = {r.doc_id: r.text for r in mixed.itertuples()}
+    assert all(r.decoded_sha256 == hashlib.sha256(by_id[r.doc_id].encode()).hexdigest() for r in coded.itertuples())
+
+
+def test_pipeline_removes_what_it_no_longer_reads(spark):
+    import corpus_pipeline as P
+    from veridoc.llm import shared
+
+    mark = shared.written_so_far()
+    assert P.run(spark, FOLDER).count() > 0
+    assert sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in shared._written[mark:]) == ["pipeline-source_mix"]

@@ -12,7 +12,8 @@ Texts are mapped in Arrow batches without any shuffle. Workers build the automat
 file of fixed size). Short pieces are cached, at most CACHE of them.
 
 Defined cases: a null text is an empty one; an empty text has no ids; repeated rows are encoded each; other columns pass
-through encode_documents() but for those named like its own, which it replaces; an empty table gives an empty result.
+through encode_documents() but for those named like its own (ids, n_tokens, ids_sha256, decoded_sha256), which it
+replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridoc.llm.shared import map_arrow, table
+from veridoc.llm.shared import map_arrow, table, unused
 
 CACHE = 200_000  # pieces
 CACHED_LENGTH = 48  # bytes; longer pieces are rarely seen again
@@ -176,15 +177,15 @@ def codec(tokens: list[bytes], pattern: str) -> Codec:
     return _codecs[name]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """docs with ids (array, unless keep_ids is false), n_tokens, ids_sha256 and decoded_sha256 of the ids decoded again."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
+    """docs (without the text, unless keep_text) with ids (array, unless keep_ids is false), n_tokens, ids_sha256 and
+    decoded_sha256 of the ids decoded again."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # the ranks: a file of fixed size
     own = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     named = {f.name for f in own}
-    kept = [f for f in docs.schema.fields if f.name not in named]
-    texts = F.coalesce(F.col(text), F.lit(""))
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], texts.alias("__text"))
-    names = [f.name for f in kept]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in named and (keep_text or f.name != text)]
+    names, given = [f.name for f in kept], unused(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = None
@@ -193,7 +194,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 c = c or codec(shared.value, pattern)
                 batch = whole.slice(at, BATCH)
                 ids_of, n, coded, decoded = [], [], [], []
-                for t in batch.column("__text"):
+                for t in batch.column(given):
                     ids = c.encode(t.as_py())
                     n.append(len(ids))
                     coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
@@ -215,6 +216,6 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the 50k ranks and decoded again."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumnRenamed("text", "_text")
-    found = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "_text", keep_ids=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False, keep_text=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -209,18 +209,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, found["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted, in one pass; columns of these names are replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in kept]
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted, under the given names, in one pass; columns of these names are replaced."""
+    own = {c.lower() for c in names}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in own]
+    passed = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.score(np.array([features_of(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array((p >= CUT).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(p), pa.array((p >= CUT).astype(np.int32))], names=[*passed, *names])
 
-    out = [*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, T.StructType(out))
+    out = [*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in passed]), run, T.StructType(out))
 
 
 def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

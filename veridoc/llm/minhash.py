@@ -31,8 +31,8 @@ The intermediate tables are removed as soon as the components are known.
 
 Defined cases: texts of fewer than five words have one shingle of all their words; texts without words (null, empty) are
 copies of each other; a null doc_id is a document as any other, and a class's id is the smallest that is not null;
-repeated rows are copies; an empty table gives an empty result; other columns are ignored by classes() and kept by
-deduplicated(), as own columns start with "_dup_".
+repeated rows are copies; an empty table gives an empty result; other columns, whatever their names, are ignored by classes()
+and kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.shipping import ship
-from veridoc.llm.shared import drop_written, map_arrow, table, written, written_so_far
+from veridoc.llm.shared import drop_written, map_arrow, packed, table, written, written_so_far
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -436,12 +436,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = members.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     first = first.groupBy(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash")).agg(F.count(F.lit(1)).alias("_dup_rows"))
     first = written(first, "first")
-    rows = docs.withColumn("_dup_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_dup_id"]) & (rows["_dup_text"] == first["_dup_hash"]))
-    own = ["_dup_text", "_dup_id", "_dup_hash", "_dup_rows"]
-    once = kept.where("_dup_rows = 1")
-    more = kept.where("_dup_rows > 1").dropDuplicates(["_dup_id", "_dup_hash"])
-    return once.unionByName(more).drop(*own)
+    rows = packed(docs, _id="doc_id", _text=F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(first, rows["_id"].eqNullSafe(first["_dup_id"]) & (rows["_text"] == first["_dup_hash"]))
+    once = kept.where("_dup_rows = 1").select("_row")
+    more = kept.where("_dup_rows > 1").dropDuplicates(["_dup_id", "_dup_hash"]).select("_row")
+    return once.unionByName(more).select("_row.*")
 
 
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,15 @@ As capacities are summed bottom-up first, one water-filling for each level, top-
 Each leaf then takes whole epochs and a token prefix of one more. An epoch is a seeded order of the leaf's documents
 (60 bits of MD5 of seed, epoch and doc_id). The prefix is the shortest that reaches the budget. Its end is found in two
 steps so that no task holds a leaf: tokens summed in 4,096 ranges of the order, then the one range that holds the end,
-row by row. A document decides for itself against its leaf's end key: texts are never shuffled.
+row by row. A document decides for itself against its leaf's end key. Leaf tables of up to BROADCAST_LEAVES rows are
+broadcast, and then texts are not shuffled; with more leaves than that documents are joined with them by a shuffle.
 
 Everything here is DataFrame functions. Numbers are whole at every level, so results do not depend on summation order.
 
 Defined cases: null lang or source counts as the empty name; a null text has no tokens; a null doc_id orders as -1;
 rows with equal doc_id in a leaf stand or fall together; leaves without tokens give no rows; weight 0, nothing; a
-name without a weight has DEFAULT_WEIGHT; an empty table gives an empty result; other columns pass through, as own
-columns start with "_mix_".
+name without a weight has DEFAULT_WEIGHT; an empty table gives an empty result; other columns pass through mix(), whose own
+columns start with "_mix_" (mixed() takes any names and adds none).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.shared import table, words, written
+from veridoc.llm.shared import packed, table, words, written
 
 #: Relative weights by name, for each level; production parameters of the query.
 WEIGHTS = {
@@ -127,6 +128,11 @@ def mix(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
     return chosen(named.withColumn("_mix_tokens", tokens), ends, seed)
 
 
+def mixed(docs: DataFrame, seed: str = SEED, **kw) -> DataFrame:
+    """The mixture with the columns of docs, whatever their names."""
+    return mix(packed(docs, doc_id="doc_id", text="text", lang="lang", source="source"), seed, **kw).select("_row.*")
+
+
 def chosen(named: DataFrame, ends: DataFrame, seed: str) -> DataFrame:
     rows = on_leaf(named, ends)
     key = key_of(F.col("_mix_full"), seed)
