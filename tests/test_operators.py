@@ -49,6 +49,7 @@ def test_join_lines(spark):
     cases = [
         (["agnostic-", "approach"], "agnostic-approach"), (["agnostic-", "Approach"], "agnostic- Approach"), (["capa­", "bility"], "capability"),
         (["results Q3-", "2024 outlook"], "results Q3- 2024 outlook"), (["high-­", "quality,"], "high-quality,"), (["one", "", "two"], "one two"), ([], ""), (["  one "], "one"),
+        (["", "two"], " two"), (["end­"], "end­"), (["a­", "­", "b"], "ab"), (["a-", "­", "b"], "a- b"), (["a-­", "b-", "C"], "a-b- C"), (["a", "", "­", "c"], "a c"),
     ]
     assert column(spark, [c[0] for c in cases], E.join_lines, "array<string>") == [c[1] for c in cases]
 
@@ -332,3 +333,16 @@ def test_upright_boxes(spark):
     assert [(r.width, r.height, r.rotation) for r in turned.orderBy("page_no").collect()] == [(100, 200, 0), (200, 100, 0), (100, 200, 0), (200, 100, 0), (200, 100, 0), (100, 200, 0)]
     got = [(r.x0, r.y0, r.x1, r.y1) for r in boxes.orderBy("page_no").collect()]
     assert got == [(10, 20, 30, 25), (175, 10, 180, 30), (70, 175, 90, 180), (20, 70, 25, 90), (20, 70, 25, 90), (10, 20, 30, 25)]
+
+
+def test_lcs_of_many_parts():
+    import numpy as np
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdé ") for _ in range(700))
+    codes = np.array([ord(c) for c in text])
+    for size in (1, 5, 63, 64, 65, 128, 200, 600):
+        sentence = "".join(rng.choice("abcdéx ") for _ in range(size))
+        starts = np.array([rng.randrange(len(text)) for _ in range(12)])
+        ends = np.array([rng.randint(k, len(text)) for k in starts])
+        assert list(fuzzy._lcs_many(sentence, codes, starts, ends)) == [fuzzy._lcs(sentence, text[a:b]) for a, b in zip(starts, ends, strict=True)]
