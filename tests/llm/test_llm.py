@@ -350,6 +350,17 @@ def test_ring_awkward(spark, monkeypatch):
     assert ring.assign(rows.where("false"), shards=4, vnodes=8).count() == 0
 
 
+def test_ring_equals_sql_on_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, a third of the rows alike, null and empty texts."""
+    import duckdb
+
+    rows = [(i, f"text {i}", None, None) for i in range(60)] + [(7, f"é {i}", None, None) for i in range(40)] + [(None, f"no id {i % 9}", None, None) for i in range(50)] + [(8, "the same", None, None)] * 70 + [r for r in AWKWARD if r[1] != LONG]
+    folder = table_folder(tmp_path, spark.createDataFrame(rows, SCHEMA), "documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    same(ring.op7_ring_bounded_load(spark, folder), con, ring.SQL)
+
+
 def test_ring_spreads_rows_without_an_id_of_their_own(spark):
     """Half of the rows have no id and a quarter share one: no task gets more than a few arcs' rows."""
     n = 20_000

@@ -20,6 +20,7 @@ ORACLE = {
     "op2_hierarchical_mix": mixing.SQL,
     "op4_warc_revisits": warc.SQL,
     "op6_temporal_url_filter": urls.SQL,
+    "op7_ring_bounded_load": ring.SQL,
     "op8_quality_rules": rules.SQL,
     "op9_chat_prefix_target": chat.SQL,
 }

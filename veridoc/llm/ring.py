@@ -151,3 +151,26 @@ def op7_ring_bounded_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", (F.coalesce("bytes", F.lit(0)) + OVERHEAD).cast("bigint").alias("size"), "text_crc32")
     found = assign(rows)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+_place = lambda name: f"('0x' || substr(md5({name}), 1, 15))::BIGINT"
+#: The walk as a recursion over the arcs, twice around; CRC-32 over the texts' bytes.
+SQL = f"""
+WITH RECURSIVE bit AS (SELECT i, i::UINTEGER AS c, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM bit WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+r AS MATERIALIZED (SELECT doc_id, strlen(t) + {OVERHEAD} AS size, xor(list_reduce(list_transform(range(strlen(t)), lambda i: ('0x' || substr(x, 1 + 2 * i, 2))::UINTEGER), lambda a, b: xor(a >> 8, l[1 + (xor(a, b) & 255)]), 4294967295::UINTEGER), 4294967295::UINTEGER)::BIGINT AS crc FROM d, tab),
+p AS (SELECT *, coalesce(doc_id::VARCHAR, '-1') AS name, (crc, size) <> min((crc, size)) OVER (PARTITION BY doc_id) AS later FROM r),
+q AS (SELECT doc_id, size, crc, CASE WHEN later THEN {_place("name || ':' || crc || ':' || size")} ELSE {_place("name")} END AS pos FROM p),
+node AS (SELECT (i // {VNODES})::INT AS shard, {_place("'node:' || i")} AS pos FROM range({SHARDS * VNODES}) AS t(i)),
+arc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos, shard) AS arc, shard, pos FROM (FROM node UNION ALL SELECT arg_min(shard, pos), {RING} FROM node)),
+n AS MATERIALIZED (SELECT q.*, arc, row_number() OVER (ORDER BY arc, q.pos, doc_id NULLS FIRST, crc, size) - 1 AS number FROM q ASOF JOIN arc ON q.pos <= arc.pos),
+step AS MATERIALIZED (SELECT arc.arc + turn * {SHARDS * VNODES + 1} AS k, shard, CASE turn WHEN 0 THEN sum(coalesce(c, 0)) OVER (PARTITION BY turn ORDER BY arc.arc) ELSE (SELECT count(*) FROM n) END::BIGINT AS come
+  FROM arc LEFT JOIN (SELECT arc, count(*) AS c FROM n GROUP BY arc) AS m USING (arc), range(2) AS t(turn)),
+room AS (SELECT list(c // {SHARDS} + (s < c % {SHARDS})::INT ORDER BY s) AS room FROM range({SHARDS}) AS t(s), (SELECT count(*) AS c FROM n)),
+walk AS (SELECT 0::BIGINT AS k, 0::BIGINT AS done, list_transform(range({SHARDS}), lambda s: 0::BIGINT) AS used, NULL::INT AS shard, 0::BIGINT AS run_start, 0::BIGINT AS slot_start
+  UNION ALL SELECT w.k + 1, w.done + take, list_transform(w.used, lambda u, i: u + CASE WHEN i = s.shard + 1 THEN take ELSE 0 END), s.shard, w.done, w.used[s.shard + 1]
+  FROM walk AS w JOIN step AS s ON s.k = w.k + 1, room, LATERAL (SELECT greatest(least(s.come - w.done, room[s.shard + 1] - w.used[s.shard + 1]), 0) AS take)),
+run AS (SELECT shard, run_start, slot_start FROM (SELECT *, lead(run_start) OVER (ORDER BY k) AS run_end, done FROM walk WHERE shard IS NOT NULL) WHERE done > run_start)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard, (number - run_start + slot_start)::BIGINT AS slot, NULL::INT AS grown_shard FROM n ASOF JOIN run ON n.number >= run.run_start
+"""
