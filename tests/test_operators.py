@@ -237,6 +237,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_texts(rows, "k", "t", str(tmp_path / "t"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["a", "b"]
     assert sinks.as_json(rows, "k").orderBy("k").first().body == '{"k":1,"t":"a"}'
+    last = sinks.final_bodies(rows, "k", F.lit("2024-01-01 00:00:00").cast("timestamp")).orderBy("k").first()
+    assert last.body == '{"status":"COMPLETE","progress":100,"t":"a"}' and str(last.expires_at) == "2024-01-01 01:00:00"
     sinks.write_reports(rows, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
@@ -346,3 +348,8 @@ def test_lcs_of_many_parts():
         starts = np.array([rng.randrange(len(text)) for _ in range(12)])
         ends = np.array([rng.randint(k, len(text)) for k in starts])
         assert list(fuzzy._lcs_many(sentence, codes, starts, ends)) == [fuzzy._lcs(sentence, text[a:b]) for a, b in zip(starts, ends, strict=True)]
+
+
+def test_accepted(spark):
+    rows = spark.createDataFrame([("a.pdf", None), ("a.PDF", "x"), ("a", "application/pdf"), ("a.txt", "text/plain"), (None, None)], "n string, m string")
+    assert [r[0] for r in rows.select(pdf.accepted(F.col("n"), F.col("m"))).collect()] == [True, False, True, False, False]

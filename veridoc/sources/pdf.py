@@ -1,6 +1,6 @@
 """PDF sources: directory scan, upload guard, preflight, spans from a decoder's page trees.
 
-A decoder (bytes -> page trees) is a plug-in: register_decoder(). Without one, binary rows are scanned and guarded only.
+A decoder (bytes -> page trees) is a plug-in: register_decoder(). The one named "plain" comes with the package.
 A file that cannot be read becomes a row with an error; it never fails the job.
 """
 
@@ -9,17 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.shipping import ship
 from veridoc.functions.text import pytrim
+from veridoc.sources import pdf_decoder
 
 # The first bytes of a PDF, and the preflight's sample.
 MAGIC = "255044462D"
 SAMPLE_PAGES, SAMPLE_CHARS = 3, 10
 
-_decoders: dict[str, Callable[[bytes], list[dict]]] = {}
+_decoders: dict[str, Callable[[bytes], list[dict]]] = {"plain": pdf_decoder.decode}
 
 
 def register_decoder(name: str, decode: Callable[[bytes], list[dict]]) -> None:
@@ -45,6 +46,11 @@ def guard(content: Column, url: Column, top: Column, bottom: Column, left: Colum
     )
 
 
+def accepted(name: Column, mime: Column) -> Column:
+    """Whether a file may be offered at all: by its type, or by its name."""
+    return F.coalesce(mime == "application/pdf", F.lit(False)) | F.coalesce(F.endswith(name, F.lit(".pdf")), F.lit(False))
+
+
 def preflight(pages: DataFrame) -> DataFrame:
     """doc_id, has_text, page_count, error: whether one of the first three pages has more than ten characters."""
     text = F.when(F.col("page_no") <= SAMPLE_PAGES, F.length(pytrim(F.coalesce("plain_text", F.lit("")))) > SAMPLE_CHARS)
@@ -52,7 +58,7 @@ def preflight(pages: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(~F.col("has_text"), "NO_TEXT_LAYER"))
 
 
-def decoded(files: DataFrame, decoder: str) -> DataFrame:
+def decoded(files: DataFrame, decoder: str = "plain") -> DataFrame:
     """path, page_no, width, height, rotation, plain_text, blocks, error; a file that fails has one row with its error."""
     decode = _decoders[decoder]
     schema = "path string, page_no int, width double, height double, rotation int, plain_text string, blocks array<struct<type:int,lines:array<struct<spans:array<struct<text:string,chars:array<struct<c:string>>,x0:double,y0:double,x1:double,y1:double,size:double,font:string,flags:int,color:int>>>>>>, error string"
@@ -98,3 +104,14 @@ def chars_only(pages: DataFrame) -> DataFrame:
     has_text, has_chars = F.coalesce(F.col("s.text"), F.lit("")) != "", F.coalesce(F.size("s.chars"), F.lit(0)) > 0
     first = rows.where(has_text | has_chars).groupBy("path").agg(F.min_by(has_chars & ~has_text, F.struct("page_no", "i", "j", "k")).alias("chars_only"))
     return pages.select("path").distinct().join(first, "path", "left").select("path", F.coalesce("chars_only", F.lit(False)).alias("chars_only"))
+
+
+def layout_tables(pages: DataFrame, least_size: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Decoded pages as the tables that measurement and extraction take, with the path as doc_id; files with an error are
+    left out, turned pages are set upright."""
+    from veridoc.operators.layout import upright
+
+    good = pages.where("error IS NULL")
+    order = F.row_number().over(Window.partitionBy("path", "page_no").orderBy("seq"))
+    found = spans(good, least_size).withColumn("seq", order).withColumnRenamed("path", "doc_id")
+    return upright(good.select(F.col("path").alias("doc_id"), "page_no", "width", "height", "rotation", "plain_text"), found)
