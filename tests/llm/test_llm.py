@@ -69,6 +69,92 @@ def test_gam_learns_an_interaction():
     assert np.array_equal(gam.fit(x[shuffled], y[shuffled]).score(x[:9]), model.score(x[:9]))
 
 
+def plain_boosting(x, y, asked, rounds, pair_rounds, most_pairs):
+    """The same model by plain loops over rows and cuts: cyclic three-leaf trees, then trees of two features."""
+    import math
+
+    n, width = len(x), len(x[0])
+    cut = lambda f, bins: sorted(set(np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist()))
+    fine, coarse = [cut(f, gam.BINS) for f in range(width)], [cut(f, gam.PAIR_BINS) for f in range(width)]
+    place = lambda edges, v: sum(v >= e for e in edges)
+    bins = [[place(fine[f], r[f]) for f in range(width)] for r in x]
+    low = [[place(coarse[f], r[f]) for f in range(width)] for r in x]
+    base = math.log((sum(y) + 1) / (n - sum(y) + 1))
+    tables = [[0.0] * (len(e) + 1) for e in fine]
+    pairs = {}
+
+    def total(b, c):
+        return base + sum(t[b[f]] for f, t in enumerate(tables)) + sum(t[c[f]][c[g]] for (f, g), t in pairs.items())
+
+    def slopes():
+        p = [1 / (1 + math.exp(-total(b, c))) for b, c in zip(bins, low)]
+        return [(yi - pi, max(pi * (1 - pi), 1e-6)) for yi, pi in zip(y, p)]
+
+    gain = lambda part: sum(g for g, _ in part) ** 2 / (sum(h for _, h in part) + gam.RIDGE)
+    mean = lambda part: sum(g for g, _ in part) / (sum(h for _, h in part) + gam.RIDGE)
+    heavy = lambda part: sum(h for _, h in part) >= gam.LEAST / 4
+
+    def best_cut(rows, lo, hi):
+        """rows: (bin, slope). The gain and the first bin of the right side; no cut: 0."""
+        found = (0.0, 0)
+        for k in range(lo + 1, hi):
+            left, right = [s for b, s in rows if b < k], [s for b, s in rows if b >= k]
+            more = gain(left) + gain(right) - gain(left + right)
+            if heavy(left) and heavy(right) and more > found[0] + 1e-13 and more > 1e-12:
+                found = (more, k)
+        return found
+
+    for _ in range(rounds):
+        for f in range(width):
+            rows = [(b[f], s) for b, s in zip(bins, slopes())]
+            parts = [(0, len(tables[f]))]
+            while len(parts) < gam.LEAVES:
+                options = [(*best_cut([r for r in rows if lo <= r[0] < hi], lo, hi), -k) for k, (lo, hi) in enumerate(parts)]
+                more, k, at = max(options)
+                if not k:
+                    break
+                lo, hi = parts[-at]
+                parts[-at : 1 - at] = [(lo, k), (k, hi)]
+            for lo, hi in parts:
+                step = gam.RATE * mean([s for b, s in rows if lo <= b < hi])
+                tables[f][lo:hi] = [v + step for v in tables[f][lo:hi]]
+
+    def pair_tree(a, b):
+        rows, wide, high = [((c[a], c[b]), s) for c, s in zip(low, slopes())], len(coarse[a]) + 1, len(coarse[b]) + 1
+        top, found = 0.0, [[0.0] * high for _ in range(wide)]
+        for k in range(1, wide):
+            value, score = [[0.0] * high for _ in range(wide)], 0.0
+            for lo, hi in ((0, k), (k, wide)):
+                side = [(c[1], s) for c, s in rows if lo <= c[0] < hi]
+                more, at = best_cut(side, 0, high)
+                score += more + gain([s for _, s in side])
+                for first, last in ((0, at), (at, high)):
+                    for i in range(lo, hi):
+                        value[i][first:last] = [mean([s for j, s in side if first <= j < last])] * (last - first)
+            if score > top:
+                top, found = score, value
+        return top - gain([s for _, s in rows]), found
+
+    ranked = sorted((-pair_tree(a, b)[0], a, b) for a in range(width) for b in range(a + 1, width) if coarse[a] and coarse[b])
+    for _, a, b in ranked[:most_pairs]:
+        pairs[a, b] = [[0.0] * (len(coarse[b]) + 1) for _ in range(len(coarse[a]) + 1)]
+    for _ in range(pair_rounds):
+        for a, b in list(pairs):
+            for i, row in enumerate(pair_tree(a, b)[1]):
+                pairs[a, b][i] = [v + gam.RATE * w for v, w in zip(pairs[a, b][i], row)]
+    return [1 / (1 + math.exp(-total([place(fine[f], r[f]) for f in range(width)], [place(coarse[f], r[f]) for f in range(width)]))) for r in asked]
+
+
+def test_gam_equals_plain_boosting():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((160, 3)), 2)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4) | (x[:, 2] > 0.9)).astype(float)
+    asked = np.round(rng.random((40, 3)), 2)
+    model = gam.fit(x, y, rounds=4, pair_rounds=3, pairs=2)
+    want = plain_boosting(x.tolist(), y.tolist(), asked.tolist(), 4, 3, 2)
+    assert len(model.pairs) == 2 and np.allclose(model.score(asked), want, atol=1e-9)
+
+
 def test_gam_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (9, 1)], "doc_id long, quality int")
     model = gam.train(awkward, labels)

@@ -9,7 +9,7 @@ around the border, and is memoised. Positions from which the walk failed are rem
 time stays linear in the piece, also for pieces of megabytes.
 
 Texts are mapped in Arrow batches without any shuffle. Workers build the automaton once from the broadcast ranks (one
-file of fixed size). Short pieces are cached, at most CACHE of them.
+file of fixed size). Short pieces are cached, at most CACHE of them in each of two generations.
 
 Defined cases: a null text is an empty one; an empty text has no ids; repeated rows are encoded each; other columns pass
 through encode_documents() but for those named like its own (ids, n_tokens, ids_sha256, decoded_sha256), which it
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from veridoc.llm.shared import map_arrow, table, unused
 
-CACHE = 200_000  # pieces
-CACHED_LENGTH = 48  # bytes; longer pieces are rarely seen again
+CACHE = 250_000  # pieces of each of two generations
+CACHED_LENGTH = 48  # characters; longer pieces are rarely seen again
 BATCH = 256  # texts decoded to Python strings at a time
 
 
@@ -54,11 +54,14 @@ class Codec:
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left * number of tokens + right
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.automaton = ahocorasick.Automaton()
+        self.sizes = list(map(len, tokens))
+        self.names = list(map(str, range(len(tokens))))
         for i, t in enumerate(tokens):
-            self.automaton.add_word(t.decode("latin-1"), i)
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
         self.automaton.make_automaton()
         #: The next shorter token that a token starts with, or -1.
         self.shorter = [next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1) for t in tokens]
@@ -107,7 +110,7 @@ class Codec:
                 left = parts[1]
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = left, right
+        pair = left * len(self.tokens) + right
         known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= 4 * CACHE:
@@ -119,52 +122,66 @@ class Codec:
         whole = self.ids.get(piece)
         if whole is not None:
             return (whole,)
-        tokens, shorter = self.tokens, self.shorter
-        size = len(piece)
-        longest = [-1] * size  # id of the longest token at each position
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            start = end - len(tokens[i]) + 1
-            if longest[start] < 0 or len(tokens[longest[start]]) < len(tokens[i]):
-                longest[start] = i
-        dead = bytearray(size + 1)  # positions from which the rest cannot be encoded after what may stand before them
+        size, count = len(piece), len(self.tokens)
+        if not size:
+            return ()
+        sizes, shorter, known = self.sizes, self.shorter, self.fits.get
+        longest = [-1] * size  # id of the longest token at each position: matches come by their ends, so the last is the longest
+        for end, (i, n) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - n + 1] = i
+        dead: set[int] = set()  # positions from which the rest cannot be encoded after what may stand before them
         path: list[int] = []
-        at = 0
-        token = longest[0] if size else -1
-        while at < size:
-            before = path[-1] if path else -1
+        at, before, token = 0, -1, longest[0]
+        while True:
             while token >= 0:
-                end = at + len(tokens[token])
-                if not dead[end] and (before < 0 or self.compatible(before, token)):
-                    break
+                end = at + sizes[token]
+                if end not in dead:
+                    if before < 0:
+                        break
+                    fits = known(before * count + token)
+                    if self.compatible(before, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 path.append(token)
-                at = end
-                token = longest[at] if at < size else -1
+                if end == size:
+                    return tuple(path)
+                at, before, token = end, token, longest[end]
             else:
-                dead[at] = 1
+                dead.add(at)
                 if not path:
                     raise ValueError("the vocabulary cannot spell these bytes")
                 token = path.pop()
-                at -= len(tokens[token])
-        return tuple(path)
+                at -= sizes[token]
+                before = path[-1] if path else -1
+
+    def _seek(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that the cache has not; when the cache is full it becomes the older one, which frequent
+        pieces come back from."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode_bytes(piece.encode())
+        if len(piece) <= CACHED_LENGTH:
+            if len(self.cache) >= CACHE:
+                self.older = dict(self.cache)
+                self.cache.clear()
+            self.cache[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        cache, out = self.cache, []
+        known, out = self.cache.get, []
         for piece in self.find(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.encode_bytes(raw := piece.encode())
-                if len(raw) <= CACHED_LENGTH:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
+            ids = known(piece)
+            out += self._seek(piece) if ids is None else ids
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def spell(self, ids: Iterable[int]) -> str:
+        """The ids in decimal, joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids))
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -197,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 for t in batch.column(given):
                     ids = c.encode(t.as_py())
                     n.append(len(ids))
-                    coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    coded.append(hashlib.sha256(c.spell(ids).encode()).hexdigest())
                     decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
                     if keep_ids:
                         ids_of.append(pa.array(ids, pa.int32()))

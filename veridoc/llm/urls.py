@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.shared import table
+from veridoc.llm.shared import table, written
 
 #: Host (without user and port) and path of an address; a pattern may lack the scheme.
 AFTER_SCHEME = r"(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)[^/?#]*([^?#]*)"
@@ -76,7 +76,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     last in order of equally long ones)."""
     same = captures.groupBy(*CAPTURE).agg(F.count(F.lit(1)).cast("int").alias("copies"))
     known = same.where("url IS NOT NULL AND fetched IS NOT NULL").select(*CAPTURE, host_and_path(F.col("url")).alias("u")).select(*CAPTURE, "u.*").where("host <> ''")
-    valid = intervals(normalised(entries))
+    valid = written(intervals(normalised(entries)), "url-intervals")  # read three times
     as_of = "fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)"
     hosts = known.select(F.col("host").alias("of_host")).distinct().withColumn("host", F.explode(domains_of(F.col("of_host"))))
     by_domain = hosts.join(valid.where("path = ''"), "host").select(F.col("of_host").alias("host"), F.col("host").alias("pattern"), "list", "valid_from", "valid_to")
