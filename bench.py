@@ -16,7 +16,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 QUERIES = [
     "currency_mismatch_report", "extra_whitespace", "sentences", "clean_web_text", "issues_by_type", "layout_constants", "pdf_ready", "header_footer",
-    "noise_antijoin", "join_hyphen_lines", "job_latest_state", "dom_stability", "html_content_text", "missing_paragraph_exact", "fidelity_report", "missing_words",
+    "noise_antijoin", "join_hyphen_lines", "job_latest_state", "dom_stability", "html_content_text", "missing_paragraph_exact", "fidelity_report",
 ]
 RUNS, LONG = 3, 60.0  # a query that takes so many seconds at first is not repeated
 
