@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.shipping import shared_folder, ship
+from veridoc.functions.text import let  # noqa: F401  used by the operators from here
 
 #: Runs of ASCII white space, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -70,11 +71,6 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once for each row, inside a single expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """The words of a text: maximal runs of characters other than ASCII white space."""
     return F.array_remove(F.split(text, SPACE), "")
