@@ -313,6 +313,22 @@ def test_ann_verifies_few():
     assert index.verified / len(asked) / len(ids) < 0.08
 
 
+def test_ann_of_equal_vectors():
+    """All equal, all but one equal, and tiny ones: few steps, all found."""
+    import time
+
+    began = time.time()
+    v = np.full((3000, 8), 0.1)
+    ids = np.arange(3000)
+    assert list(qalsh.Index(ids, v).search(v[5], 5)[0]) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+    v[7] = 5.0
+    found, scores = qalsh.Index(ids, v).search(v[7], 7)
+    assert list(found) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10] and np.allclose(scores, 4.9 * 8**0.5)
+    small = np.random.default_rng(1).standard_normal((50, 4)) * 1e-200
+    assert len(qalsh.Index(np.arange(50), small).search(small[0], 0)[0]) == 10
+    assert time.time() - began < 10
+
+
 def test_ann_repeated_rows(spark):
     """A third of the rows are one vector under one id; another third is one vector under many ids."""
     rng = np.random.default_rng(3)

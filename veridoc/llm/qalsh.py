@@ -70,7 +70,8 @@ class Index:
         some = vectors[np.random.default_rng(seed).choice(len(ids), min(SAMPLE, len(ids)), replace=False)]
         apart = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (vectors**2).sum(1) - 2 * some @ vectors.T, 0))
         near = np.partition(apart, min(K, len(ids) - 1), axis=1)[:, min(K, len(ids) - 1)]
-        self.start = max(0.85 * float(np.median(near)), float(np.median(lines[:, -1] - lines[:, 0])) / 32, np.finfo(float).tiny)
+        longest = float(np.sqrt((vectors**2).sum(1).max()))  # what projections are rounded by is far below 1e-9 of it
+        self.start = max(0.85 * float(np.median(near)), float(np.median(lines[:, -1] - lines[:, 0])) / 32, 1e-9 * longest, np.finfo(float).tiny)
         self.threshold = int(SHARE * len(lines))
         self.verified = 0
 
