@@ -47,7 +47,7 @@ def test_entry_without_the_subpackage(monkeypatch):
     assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLE)
 
 
-@pytest.mark.parametrize("name", ["html_content_text"])
+@pytest.mark.parametrize("name", ["html_content_text", "html_sections"])
 def test_html_query_equals_sql_where_references_are_cut(spark, tmp_path, name):
     """A heading cut within its last reference; references that lack their semicolon, or that no list has."""
     heads = ["One &amp;&amp;&amp", "Two &am", "Three &quo", "Four &middot; &copy &quot;x&quot", "AT&T &notit; R&D; &amp;copy; &#38", "plain &"]
