@@ -64,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage wrote on the way, and its predecessor's output, go when it is written."""
     docs, mark = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", texts=True)
         drop_written(spark, mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 import base64
 import bisect
+import glob
 import hashlib
 import random
 import zlib
@@ -775,3 +776,25 @@ def test_pipeline_removes_what_it_no_longer_reads(spark):
     mark = shared.written_so_far()
     assert P.run(spark, FOLDER).count() > 0
     assert sorted(x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in shared._written[mark:]) == ["pipeline-source_mix"]
+
+
+def test_text_tables_are_held_in_small_portions(spark):
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline as P
+    from veridoc.llm import shared
+
+    key, some = "spark.sql.parquet.columnarReaderBatchSize", random.Random(7)
+    with shared.read_in_portions(spark, 300):
+        assert spark.conf.get(key) == "300"
+        with shared.read_in_portions(spark, 400):
+            assert spark.conf.get(key) == "300"
+        assert spark.conf.get(key) == "300"
+    assert spark.conf.get(key, None) is None
+    rows = [(i, some.randbytes(15_000).hex(" ", 3), "en", "src1") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {r.doc_id for r in P.quality_rules(spark, docs, FOLDER).collect()} == set(range(400))
+    path = next(x for x in reversed(shared._written) if "rule-votes" in x).removeprefix("file://")
+    groups = [m.row_group(k).total_byte_size for p in sorted(glob.glob(f"{path}/*.parquet")) for m in [pq.ParquetFile(p).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) > 3 * shared.TEXT_GROUP and max(groups) < 2 * shared.TEXT_GROUP
+    assert spark.conf.get(key, None) is None

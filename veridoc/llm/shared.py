@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from veridoc.functions.text import let  # noqa: F401  used by the operators from
 
 #: Runs of ASCII white space, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Of tables with texts: bytes of a row group that is written, and rows that are read at once meanwhile. A task holds as much
+#: of its heap for both; by Spark's own sizes (128 MB, 4096 rows) eight tasks need more than 1 GB.
+TEXT_GROUP, TEXT_ROWS = 4 << 20, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +32,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 _written: list[str] = []
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+@contextmanager
+def read_in_portions(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Parquet is read in portions of at most so many rows by what starts here; then the session's own number holds again."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    own = spark.conf.get(key, None)
+    if own is None or int(own) > rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
+def written(df: DataFrame, what: str, texts: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors. texts: its
+    rows hold texts, so few of them are held in memory at once, here and by those who read them."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     _written.append(path)
-    df.write.parquet(path)
+    with read_in_portions(spark, TEXT_ROWS) if texts else nullcontext():
+        (df.write.option("parquet.block.size", TEXT_GROUP) if texts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
